@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import decontaminate, media, mixing, quality, token_counts
+from glyphmill.llm import decontaminate, media, mixing, pii, quality, token_counts
 from glyphmill.llm.common import held_out, table
 
 
@@ -49,3 +49,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES |= {"op1_decontamination": op1_decontamination, "op5_mixing": op5_mixing}
 ORACLES |= {"op1_decontamination": decontaminate.OP1_SQL, "op5_mixing": mixing.OP5_SQL}
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.report(docs, pii.fit(docs))
+
+
+QUERIES["op2_pii"] = op2_pii
