@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import decontaminate, media, mixing, pii, quality, token_counts
+from glyphmill.llm import decontaminate, media, mixing, pii, quality, token_counts, toxicity
 from glyphmill.llm.common import held_out, table
 
 
@@ -57,3 +57,12 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_pii"] = op2_pii
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels, ~held_out(F.col("doc_id"), 5, 0))
+    return toxicity.toxicity(docs, model).select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted")
+
+
+QUERIES["op6_toxicity"] = op6_toxicity
