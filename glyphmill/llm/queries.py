@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import decontaminate, media, mixing, pii, quality, token_counts, toxicity
+from glyphmill.llm import decontaminate, langid, media, mixing, pii, quality, token_counts, toxicity
 from glyphmill.llm.common import held_out, table
 
 
@@ -66,3 +66,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_toxicity"] = op6_toxicity
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = held_out(F.col("doc_id"), 5, 0)
+    return langid.languages(docs, langid.fit(docs, ~held)).select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+QUERIES["op3_language_id"] = op3_language_id
