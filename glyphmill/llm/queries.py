@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import decontaminate, langid, media, mixing, pii, quality, token_counts, toxicity
+from glyphmill.llm import decontaminate, langid, licenses, media, mixing, pii, quality, token_counts, toxicity
 from glyphmill.llm.common import held_out, table
 
 
@@ -75,3 +75,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_language_id"] = op3_language_id
+
+
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licenses.license_paragraphs(docs, licenses.fit(docs))
+
+
+QUERIES["op9_license_scans"] = op9_license_scans
