@@ -1,23 +1,68 @@
-"""The corpus pipeline: quality classifier, near duplicates, decontamination, personal data, mixing."""
+"""The corpus pipeline: quality classifier, near duplicates, decontamination, personal data, mixing.
+
+Each stage takes (spark, docs, sf_dir) and works on every row that its predecessor kept.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import quality
+from glyphmill.llm import decontaminate, jaccard_join, mixing, pii, quality
 from glyphmill.llm.common import held_out, table, written
 
+#: Ids that are broadcast to the documents; with more, documents and ids are joined by shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without the rows of ids (doc_id); rows with a null id stay."""
+    ids = written(ids.where(F.col("doc_id").isNotNull()).select("doc_id").distinct(), "ids")
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(*docs.columns)
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     model = quality.fit_quality(docs, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id"), 3, 1))
-    return quality.with_quality(docs, model).where(F.col("__quality.predicted") == 1).drop("__quality")
+    return quality.with_quality(docs, model).where(F.col("__quality.predicted") == 1).select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the least id of each component stays; of repeated rows of one id, one stays."""
+    found = written(jaccard_join.jaccard_components(docs), "components")
+    kept = without_ids(docs, found.where("doc_id <> component_id"))
+    repeated = written(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    return without_ids(kept, repeated).unionByName(once)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Contaminated documents go."""
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
+    return without_ids(docs, found.where("contaminated"))
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every span is replaced by its kind."""
+    return pii.redacted(docs, pii.fit(docs))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The training mix: a row for each time that a document is taken."""
+    return mixing.mix(docs)
 
 
-STAGES = [("quality classifier", quality_stage)]
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("near duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("personal data", pii_stage),
+    ("mixing", mixing_stage),
+]
 
-#: The classifiers' stages can't be expressed in SQL.
+#: The quality classifier and the classifier of spans are trained models: not expressible in SQL.
 ORACLE_SQL = None
 
 

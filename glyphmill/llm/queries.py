@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import decontaminate, langid, licenses, media, mixing, pii, quality, token_counts, toxicity
+from glyphmill.llm import decontaminate, jaccard_join, langid, licenses, media, mixing, pii, quality, token_counts, toxicity
 from glyphmill.llm.common import held_out, table
 
 
@@ -83,3 +83,10 @@ def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_license_scans"] = op9_license_scans
+
+
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op7_jaccard_join"] = op7_jaccard_join
