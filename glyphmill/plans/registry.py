@@ -40,4 +40,4 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-from glyphmill.plans import aggregations, evaluations, geometry, joins, text, windows  # noqa: E402,F401
+from glyphmill.plans import aggregations, evaluations, geometry, inputs, joins, text, windows  # noqa: E402,F401
