@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.llm import decontaminate, jaccard_join, mixing, pii, quality
-from glyphmill.llm.common import held_out, table, written
+from glyphmill.llm.common import fresh, held_out, table, written
 
 #: Ids that are broadcast to the documents; with more, documents and ids are joined by shuffle.
 BROADCAST_IDS = 1_000_000
@@ -24,7 +24,8 @@ def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     model = quality.fit_quality(docs, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id"), 3, 1))
-    return quality.with_quality(docs, model).where(F.col("__quality.predicted") == 1).select(*docs.columns)
+    name = fresh(docs, "__quality")
+    return quality.with_quality(docs, model, name).where(F.col(name)["predicted"] == 1).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glyphmill.llm.common import fresh
+
 WINDOW = 13
 BLOCK_WINDOWS = 50_000
 BROADCAST_WINDOWS = 500_000
@@ -122,12 +124,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, share: int = 20) -> Dat
 def without_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
     """docs without the words of their hit spans (and what follows each up to the next word); doc_id must be unique."""
     word, gap = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
-    hit = found.where("n_hit > 0").select("doc_id", F.col("spans").alias("__spans"))
+    name = fresh(docs, "__spans")
+    hit = found.where("n_hit > 0").select("doc_id", F.col("spans").alias(name))
     joined = docs.join(hit, "doc_id", "left")
     pieces = F.regexp_extract_all("text", F.lit(word + gap), F.lit(0))
-    kept = F.filter(pieces, lambda _, i: ~F.exists("__spans", lambda s: (i >= s["at"]) & (i < s["at"] + s["k"])))
+    kept = F.filter(pieces, lambda _, i: ~F.exists(name, lambda s: (i >= s["at"]) & (i < s["at"] + s["k"])))
     clean = F.concat(F.regexp_extract("text", "^" + gap, 0), F.array_join(kept, ""))
-    return joined.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(clean)).select(*docs.columns)
+    return joined.withColumn("text", F.when(F.col(name).isNull(), F.col("text")).otherwise(clean)).select(*docs.columns)
 
 
 OP1_SQL = r"""

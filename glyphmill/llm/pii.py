@@ -24,6 +24,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glyphmill.llm.common import fresh
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret")
 
@@ -250,13 +252,14 @@ def fit(docs: DataFrame) -> SpanModel:
     return fit_spans([tuple(r) for r in vote_counts(docs).collect()])
 
 
-def with_spans(docs: DataFrame, model: SpanModel) -> DataFrame:
-    """docs with a column __spans: array<struct<rank, start, end, kind, base, probability>>, sorted."""
+def with_spans(docs: DataFrame, model: SpanModel, name: str = "__spans") -> DataFrame:
+    """docs with a column of this (new) name: array<struct<rank, start, end, kind, base, probability>>, sorted."""
+    every = fresh(docs, f"{name}_all")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     out = lambda s: F.struct(s["rank"].alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["base"].alias("base"), model.probability(s).alias("probability"))
-    rows = docs.withColumn("__all", candidates(text)).withColumn("__all", F.when(F.size("__all") > 0, F.transform("__all", out)))
+    rows = docs.withColumn(every, candidates(text)).withColumn(every, F.when(F.size(every) > 0, F.transform(every, out)))
     empty = F.expr("cast(array() as array<struct<rank: int, start: int, `end`: int, kind: string, base: boolean, probability: double>>)")
-    return rows.withColumn("__spans", F.coalesce(F.array_sort(F.filter("__all", lambda s: s["base"] | (s["probability"] >= 0.5))), empty)).drop("__all")
+    return rows.withColumn(name, F.coalesce(F.array_sort(F.filter(every, lambda s: s["base"] | (s["probability"] >= 0.5))), empty)).drop(every)
 
 
 def joined(spans: Column) -> Column:
@@ -268,20 +271,21 @@ def redacted(docs: DataFrame, model: SpanModel) -> DataFrame:
 
     n_chars, where docs has it, follows the new text. A null text stays null.
     """
-    rows = with_spans(docs, model)
+    name = fresh(docs, "__spans")
+    rows = with_spans(docs, model, name)
     pair = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
-    rows = rows.withColumn("__spans", F.array_sort(F.transform("__spans", pair)))
+    rows = rows.withColumn(name, F.array_sort(F.transform(name, pair)))
     # A span that begins before the end of an earlier one adds only what is beyond that end.
-    ends = F.aggregate("__spans", F.struct(F.lit(0).alias("end"), F.expr("cast(array() as array<struct<start: int, `end`: int, kind: string>>)").alias("out")), _merge, lambda acc: acc["out"])
-    rows = rows.withColumn("__spans", F.when(F.size("__spans") > 0, ends))
-    last = F.element_at("__spans", -1)["end"]
+    ends = F.aggregate(name, F.struct(F.lit(0).alias("end"), F.expr("cast(array() as array<struct<start: int, `end`: int, kind: string>>)").alias("out")), _merge, lambda acc: acc["out"])
+    rows = rows.withColumn(name, F.when(F.size(name) > 0, ends))
+    last = F.element_at(name, -1)["end"]
 
     def piece(s: Column, i: Column) -> Column:
-        before = F.coalesce(F.get(F.col("__spans"), i - 1)["end"], F.lit(0))
+        before = F.coalesce(F.get(F.col(name), i - 1)["end"], F.lit(0))
         return F.concat(F.substring("text", before + 1, s["start"] - before), F.when(s["kind"] == "", F.lit("")).otherwise(F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))))
 
-    clean = F.concat(F.array_join(F.transform("__spans", piece), ""), F.substring("text", last + 1, F.char_length("text")))
-    rows = rows.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(clean)).drop("__spans")
+    clean = F.concat(F.array_join(F.transform(name, piece), ""), F.substring("text", last + 1, F.char_length("text")))
+    rows = rows.withColumn("text", F.when(F.col(name).isNull(), F.col("text")).otherwise(clean)).drop(name)
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
     return rows.select(*docs.columns)

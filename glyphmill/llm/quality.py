@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import WORD_RE, sampled_labels
+from glyphmill.llm.common import fresh, sampled_labels
 
 #: Bound of the labelled sample that the classifier is fitted on (in expectation; both labels equally).
 FIT_ROWS = 12_000
@@ -165,10 +165,10 @@ def quality_scores(docs: DataFrame, model: RuleEnsemble) -> DataFrame:
     return scored.select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def with_quality(docs: DataFrame, model: RuleEnsemble) -> DataFrame:
-    """docs with a struct column __quality(score, predicted) beside its own columns."""
-    names = {f"__q_{k}": c for k, c in statistics(F.col("text").cast("string")).items()}
-    renamed = RuleEnsemble(model.intercept, [tuple((f"__q_{n}", op, v) for n, op, v in r) for r in model.rules], model.weights)
+def with_quality(docs: DataFrame, model: RuleEnsemble, name: str = "__quality") -> DataFrame:
+    """docs with a struct column of this (new) name, score and predicted, beside its own columns."""
+    names = {k: fresh(docs, f"{name}_{k}") for k in STATISTICS}
+    renamed = RuleEnsemble(model.intercept, [tuple((names[n], op, v) for n, op, v in r) for r in model.rules], model.weights)
     score = renamed.score()
-    out = docs.withColumns(names).withColumn("__quality", F.struct(score.alias("score"), (score >= 0.5).cast("int").alias("predicted")))
-    return out.drop(*names)
+    out = docs.withColumns({names[k]: c for k, c in statistics(F.col("text").cast("string")).items()})
+    return out.withColumn(name, F.struct(score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))).drop(*names.values())

@@ -1,0 +1,302 @@
+"""Each operator against a brute-force version, and the defined results of odd rows."""
+
+import hashlib
+import random
+import sys
+from pathlib import Path
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+sys.path.insert(0, str(Path(__file__).parent))
+import brute
+
+from glyphmill.llm import common, decontaminate, jaccard_join, langid, licenses, media, mixing, pii, quality, token_counts, toxicity
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def docs_of(spark, texts):
+    return spark.createDataFrame([(i, t, "en", f"src{i % 3}", len(t or "")) for i, t in enumerate(texts)], DOCS)
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in every column, empty and long texts, repeated rows, and columns whose names operators use themselves."""
+    rows = [(1, None, "en", "src1", None), (2, "", None, None, 0), (3, " \n\t", "en", "src2", 3), (4, "one Two three", "en", "src1", 13), (4, "one Two three", "en", "src1", 13), (None, "mail a@b.com now", "en", "src1", 9), (5, "long " * 30000, "en", "src0", 150000), (6, "x" * 60000, "de", "odd", 60000), (7, "1" * 30000, "de", "src1", 1)]
+    df = spark.createDataFrame(rows, DOCS)
+    return df.withColumns({c: F.lit("mine") for c in ("score", "words", "row", "hits", "n_tokens", "sig", "label", "spans", "__spans", "key", "range")})
+
+
+def test_byte_slices():
+    for sizes in ([], [0], [0, 0, 0], [5] * 10, [100, 1, 1, 1], [1, 100, 1]):
+        cuts = list(common.byte_slices(sizes, 10))
+        assert [i for a, b in cuts for i in range(a, b)] == list(range(len(sizes)))
+        assert all(b - a == 1 or sum(sizes[a:b]) <= 10 for a, b in cuts)
+
+
+def test_contamination(spark):
+    rng = random.Random(1)
+    words = [f"w{i}" for i in range(60)] + ["É", "é", "ß"]
+    items = [(i, " ".join(rng.choice(words) for _ in range(n))) for i, n in enumerate((30, 13, 14, 5, 1, 0, 20))] + [(8, None)]
+    texts = []
+    for _ in range(40):
+        t = [rng.choice(words) for _ in range(rng.randrange(0, 80))]
+        if rng.random() < 0.6:
+            source = items[rng.randrange(len(items))][1] or ""
+            at = rng.randrange(len(t) + 1)
+            t[at:at] = source.upper().split()[: rng.choice((5, 13, 40))]
+        texts.append(rng.choice((" ", ", ", "\n")).join(t))
+    texts += [None, "", "?!", items[0][1] * 3, texts[0]]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.contamination(docs_of(spark, texts), bench).collect()}
+    for i, (n, hit, ids) in enumerate(brute.contamination(texts, items)):
+        r = got[i]
+        assert (r.n_words, r.n_hit, list(r["items"]), r.contaminated) == (n, hit, ids, hit > 0 and 20 * hit >= n)
+
+
+def test_contamination_removes_spans(spark):
+    item = " ".join(f"b{i}" for i in range(13))
+    docs = docs_of(spark, [f"Keep this, {item.upper()}. And this!", "clean text"])
+    found = decontaminate.contamination(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    got = [r.text for r in decontaminate.without_spans(docs, found).orderBy("doc_id").collect()]
+    assert got == ["Keep this, And this!", "clean text"]
+
+
+def test_contamination_odd_rows(spark, odd):
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert {r.n_hit for r in decontaminate.contamination(odd, none).collect()} == {0}
+    assert decontaminate.contamination(odd.limit(0), spark.createDataFrame([(1, "a b")], "item_id long, text string")).count() == 0
+    got = decontaminate.contamination(odd, spark.createDataFrame([(None, "two"), (9, "LONG")], "item_id long, text string")).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, []).append((r.n_words, r.n_hit, list(r["items"])))
+    assert len(got) == 9 and by[4] == [(3, 1, [])] * 2 and by[5] == [(30000, 30000, ["9"])] and by[1] == [(0, 0, [])]
+
+
+def test_pii(spark, odd):
+    rng = random.Random(2)
+    bits = ["a.b@c.de", "x@y", "@", "1.2.3.4", "256.1.1.1", "1.2.3.4.5.6.7.8", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (415) 555-2671", "+49", "é", "ñ", " ", ".", "-", "_", "0255.1.1.1", "12", "+1+2", "q@w.e_r@t.y"]
+    texts = ["".join(rng.choice(bits) + rng.choice(("", " ")) for _ in range(rng.randrange(30))) for _ in range(150)]
+    texts += ["a" * 20000 + "@" + "b.c" * 3000, "x@y" * 2000 + "@z.co", "+1((((((" * 2000, None]
+    docs = docs_of(spark, texts)
+    model = pii.fit(docs)
+    got = {r.doc_id: r for r in pii.report(docs, model).collect()}
+    for i, t in enumerate(texts):
+        want = brute.pii(t)
+        base = want.pop("base")
+        assert all(got[i][k] == v for k, v in want.items()), (t, want, got[i])
+        assert set(filter(None, base.split(","))) <= set(got[i].spans.split(","))
+    assert pii.report(odd, pii.fit(odd)).count() == 9
+    empty = odd.limit(0)
+    assert pii.report(empty, pii.fit(empty)).count() == 0
+    assert pii.redacted(odd, model).columns == odd.columns
+
+
+def test_pii_redacts(spark):
+    docs = docs_of(spark, ['ñ a@b.com, 4111111111111111 token = "568081089e370ecd730e803638840f97073fd319" +1 (415) 555-2671', None, "plain"])
+    counts = [("email", 1, 1, 0, 0, 50), ("card", 1, 1, 0, 0, 50), ("phone", 1, 1, 0, 0, 50), ("secret", 1, 0, 1, 1, 50), ("secret", 0, 0, 0, 0, 50)]
+    model = pii.fit_spans(counts)
+    got = [r.text for r in pii.redacted(docs, model).orderBy("doc_id").collect()]
+    assert got == ['ñ <EMAIL>, <CARD> token = "<SECRET>" <PHONE>', None, "plain"]
+    assert model.hits["secret"][2] > model.slips["secret"][2]
+
+
+def test_languages(spark, documents, odd):
+    held = common.held_out(F.col("doc_id"), 5, 0)
+    model = langid.fit(documents, ~held)
+    got = langid.languages(documents, model).join(documents.select("doc_id", "lang"), "doc_id").where(held).collect()
+    assert sum(r.lang == r.lang_pred for r in got) / len(got) > 0.9
+    rows = langid.languages(odd, model).collect()
+    und = {r.doc_id for r in rows if r.lang_pred == "und"}
+    assert len(rows) == 9 and und == {1, 2, 3, 7} and all(0 <= r.score <= 1 for r in rows)
+    assert langid.fit(documents.limit(0), ~held) is None
+    assert {r.lang_pred for r in langid.languages(odd, None).collect()} == {"und"}
+
+
+def test_token_counts(spark, odd, documents):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    texts = ["", "a", " ", "  a  b", "x <|endoftext|> y<|endoftext|>.", "it's  we'll,\tok ,. 'd,", "é, ñ. ünï12,3. ,", "a b 　 c", "\n", "a.\n", "\na\n\nb", "foo\x1cbar baz", "x1, 2, $.", "日本 語, ok", "word " * 40000, "😀 ,😀."]
+    texts += [r.text for r in documents.limit(60).collect()]
+    got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs_of(spark, texts), path).collect()}
+    assert [got[i] for i in range(len(texts))] == [len(tok.encode(t, add_special_tokens=False)) for t in texts]
+    for t in texts:
+        assert "".join(token_counts.safe_pieces(t)) == t and "".join(token_counts.pieces(t)) == t
+    rows = token_counts.token_counts(odd, path).collect()
+    assert len(rows) == 9 and {r.doc_id: r.n_bytes for r in rows}[1] == 0
+    small = token_counts.PieceCounter(lambda p: [len(e) for e in tok.encode_batch(p, add_special_tokens=False)], entries=10)
+    assert small.counts(texts[:12]) + small.counts(texts[12:]) == [got[i] for i in range(len(texts))]
+
+
+def _fill(children, budget):
+    """Shares of (weight, cap) children in whole tokens."""
+    left, rest, out = budget, sum(w for _, w, _ in children), {}
+    for name, w, cap in sorted(children, key=lambda c: (c[2] / c[1], c[0])):
+        if cap * rest <= w * left and not out.get("open"):
+            out[name], left, rest = cap, left - cap, rest - w
+        else:
+            out.setdefault("open", []).append((name, w))
+    for name, w in out.pop("open", []):
+        out[name] = w * left // rest
+    return out
+
+
+def test_mixing(spark, documents, odd):
+    plan = mixing.MixPlan(share_percent=70, max_epochs=2, seed=3, weights={"domain": {"d0": 6, "d1": 0}, "lang": {"en": 3}, "source": {"src2": 5}})
+    rows = [r for r in mixing.narrow(documents).collect() if r.domain != "d1"]
+    tokens = {}
+    for r in rows:
+        tokens[r.domain, r.lang, r.source] = tokens.get((r.domain, r.lang, r.source), 0) + r.n_tokens
+    w = lambda level, name: plan.weights[level].get(name, 1)
+    cap = lambda *head: sum(2 * n for k, n in tokens.items() if k[: len(head)] == head)
+    domains = _fill([(d, w("domain", d), cap(d)) for d in {k[0] for k in tokens}], min(cap(), sum(tokens.values()) * 70 // 100))
+    want = {}
+    for d, given in domains.items():
+        for lang, part in _fill([(x, w("lang", x), cap(d, x)) for x in {k[1] for k in tokens if k[0] == d}], given).items():
+            for s, budget in _fill([(x, w("source", x), cap(d, lang, x)) for x in {k[2] for k in tokens if k[:2] == (d, lang)}], part).items():
+                whole, rest = divmod(budget, tokens[d, lang, s])
+                own = sorted((r for r in rows if (r.domain, r.lang, r.source) == (d, lang, s)), key=lambda r: hashlib.md5(f"3:{whole}:{r.doc_id}".encode()).hexdigest())
+                run = 0
+                for r in own:
+                    run += r.n_tokens
+                    want[r.doc_id] = whole + (run <= rest)
+    got = {}
+    for r in mixing.mix(documents, plan).collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + 1
+    assert got == {k: n for k, n in want.items() if n}
+    assert mixing.mix(odd).count() >= 0 and mixing.mix(odd.limit(0)).count() == 0
+
+
+def test_toxicity(spark, documents, odd):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice(("the", "er", "on", "ing", "ha")) for _ in range(3))
+    bad = ["vile", "grubbing", "wretchful", "snarlout"]
+    texts = lambda n, toxic: [" ".join(word() if not toxic or rng.random() > 0.1 else rng.choice(bad) for _ in range(80)) for _ in range(n)]
+    model = toxicity.fit_toxic(texts(120, True), texts(400, False))
+    reader = toxicity.CellReader(model.ordinary, model.toxic)
+    score = lambda t: float(toxicity.features(t, model, reader) @ model.weights) + model.bias
+    assert np.mean([score(t) > 0 for t in texts(60, True)]) > 0.9 and np.mean([score(t) < 0 for t in texts(60, False)]) > 0.9
+    rows = toxicity.toxicity(odd, model).collect()
+    assert len(rows) == 9 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert {r.score for r in toxicity.toxicity(odd, toxicity.fit(documents, none, F.lit(True))).collect()} == {0.0}
+
+
+def test_jaccard_components(spark, odd, monkeypatch):
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choice("abcdefg") for _ in range(3)) for _ in range(300)]
+    common_words = [rng.choice(vocabulary) for _ in range(30)]
+    texts = []
+    for n in (30, 60, 60, 120, 200):
+        base = [rng.choice(vocabulary) for _ in range(n)]
+        for _ in range(rng.choice((3, 12, 25))):
+            w = list(base)
+            for _ in range(rng.choice((0, 1, 2, 4))):
+                w[rng.randrange(len(w))] = rng.choice(vocabulary)
+            texts.append(" ".join(w[: len(w) - rng.choice((0, 0, 4))] + (common_words if rng.random() < 0.2 else [])))
+    texts += [" ".join(common_words[: rng.randrange(8, 30)] + [rng.choice(vocabulary) for _ in range(rng.randrange(20))]) for _ in range(40)]
+    texts += ["", None, "a B", "A  b", "a b c d e", "y" * 30000]
+    for name, value in (("SAMPLE", 2), ("LIST_ROWS", 8), ("HUB_PAIRS", 3)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    want = brute.components(list(enumerate(texts)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs_of(spark, texts)).collect()}
+    assert got == want
+
+
+def test_jaccard_odd_rows(spark, odd):
+    rows = jaccard_join.jaccard_components(odd).collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r.doc_id, []).append((r.n_shingles, r.component_id))
+    assert got == {1: [(0, 1)], 2: [(0, 2)], 3: [(0, 3)], 4: [(1, 4)] * 2, None: [(1, None)], 5: [(1, 5)], 6: [(1, 6)], 7: [(1, 7)]}
+    assert jaccard_join.jaccard_components(odd.limit(0)).count() == 0
+
+
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(7)
+    for n in (3, 70, 400):
+        x = np.unique(rng.integers(0, 2**63, n, np.uint64))
+        y = np.unique(np.concatenate([x[n // 10 :], rng.integers(0, 2**63, n // 9, np.uint64)]))
+        bits = [jaccard_join.parities(np.zeros(len(s), np.int64), s, np.array([len(s)]))[0] for s in (x, y)]
+        width = 8 * min(map(len, bits))
+        a, b = jaccard_join._matrix(bits, width)
+        assert np.bitwise_count(a ^ b).sum() <= len(np.setxor1d(x, y))
+
+
+def test_media(spark, odd):
+    rows = {r.doc_id: r for r in media.media_columns(docs_of(spark, ["", "hello wörld " * 500, None, "x" * 64])).collect()}
+    for i, text in enumerate(("", "hello wörld " * 500, "", "x" * 64)):
+        raw = text.encode()
+        back = media.read_wav(bytes(rows[i].media))
+        assert back == raw + bytes(len(back) - len(raw)) and len(back) % 64 == 0 and len(back) - max(len(raw), 1) < 64
+        assert rows[i].payload_sha256 == hashlib.sha256(back).hexdigest() and rows[i].media_bytes == len(rows[i].media)
+        assert list(rows[i].fingerprints) == media.fingerprints(back).tolist() == sorted(rows[i].fingerprints)
+    tone = (128 + 100 * np.sin(np.arange(8000) * 2 * np.pi * 32 / 256)).astype(np.uint8).tobytes()
+    codes = media.fingerprints(tone)
+    low, high = media.BANDS[1]
+    assert {b for c in codes.tolist() if low <= (b := (c >> 12) & 255) < high} == {32}
+    assert media.with_feature(media.media_columns(odd, keep_media=False)).count() == 9
+
+
+def test_licenses(spark, documents, odd):
+    model = licenses.fit(documents)
+    texts = [f"Intro.\n{t.capitalize()}.\nMore." for ts in licenses.TEMPLATES.values() for t in ts] + ["my license plate", None, "", "no word of it"]
+    want = [f for f, ts in licenses.TEMPLATES.items() for _ in ts]
+    got = {r.doc_id: r for r in licenses.license_paragraphs(docs_of(spark, texts), model).collect()}
+    found = [got[i].family if i in got else None for i in range(len(want))]
+    assert np.mean([a == b for a, b in zip(found, want, strict=True) if a is not None]) > 0.95
+    assert all(texts[i][r.start : r.end] == texts[i].split("\n")[r.paragraph] for i, r in got.items())
+    assert got[len(want)].family == "unknown" and set(range(len(want) + 1, len(texts))).isdisjoint(got)
+    assert licenses.license_paragraphs(odd, licenses.fit(odd)).count() == 0
+
+
+def test_quality(spark, documents, odd):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    held = common.held_out(F.col("doc_id"), 3, 1)
+    model = quality.fit_quality(documents, labels, ~held)
+    rows = quality.quality_scores(documents, model).toPandas()
+    stats = documents.select("doc_id", *[c.alias(k) for k, c in quality.statistics(F.col("text")).items()]).toPandas()
+    both = rows.merge(stats, on="doc_id")
+    assert np.allclose(model.score_rows(both[list(quality.STATISTICS)].to_numpy(float)), both["score"])
+    got = quality.quality_scores(odd, model).collect()
+    assert len(got) == 9 and all(0 <= r.score <= 1 for r in got)
+    assert quality.with_quality(odd, model).drop("__quality").columns == odd.columns
+    plain = quality.fit_quality(documents, labels.limit(0), ~held)
+    assert {(r.score, r.predicted) for r in quality.quality_scores(odd, plain).collect()} == {(0.5, 1)}
+
+
+def test_pipeline_stages_keep_columns_and_take_effect(spark, odd):
+    import corpus_pipeline
+
+    base = "some words that make up a document of ordinary length for the test at hand today "
+    docs = docs_of(spark, [base, base + "x", "mail a@b.com please now or never again", None, ""])
+    docs = docs.union(docs.where("doc_id = 2"))
+    once = corpus_pipeline.near_duplicate_stage(spark, docs, SF)
+    assert once.columns == docs.columns and sorted(r.doc_id for r in once.collect()) == [0, 2, 3, 4]
+    clean = corpus_pipeline.pii_stage(spark, docs, SF)
+    assert clean.columns == docs.columns and "a@b.com" not in "".join(r.text or "" for r in clean.collect())
+    kept = corpus_pipeline.decontamination_stage(spark, odd.select(*docs.columns), SF)
+    assert kept.count() == 9
+
+
+def test_pipeline_runs(spark):
+    import corpus_pipeline
+
+    docs = corpus_pipeline.table(spark, SF, "documents")
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, SF)
+        if i < len(corpus_pipeline.STAGES) - 1:
+            assert out.dtypes == docs.dtypes
+            docs = common.written(out, f"stage{i}")
+    assert out.count()
