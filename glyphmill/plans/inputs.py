@@ -108,10 +108,15 @@ def stream_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.drained(stream.groupBy("event_type").agg(F.count("*").alias("n")), "stream_event_counts_out")
 
 
-@query("T1 T5 T7 A8", "SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events WHERE value > 5 GROUP BY 1")
+@query("T1 T5 T6 T7 T11 T12 T13 A8", "SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events WHERE value > 5 GROUP BY 1")
 def stream_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = load(spark, sf_dir, "events").select("event_id", "event_type", "value")
     source, out = posix(scratch(spark, "in")), posix(scratch(spark, "parts"))
     events.repartition(4, "event_id").write.parquet(source)
-    P.run_parts(spark, source, events.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), out, lambda b: b.where("value > 5"))
+    import os
+
+    os.makedirs(out)
+    P.ensure_identity(f"{out}/run.json", {"filter": "value > 5"})
+    with P.exclusive(f"{out}/lock"):
+        P.run_parts(spark, source, events.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), out, lambda b: b.where("value > 5"))
     return spark.read.parquet(f"{out}/parts").groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
