@@ -8,10 +8,13 @@ prefixes are indexed.
 
 Index lists are skipped in blocks: a list is cut by set size into blocks that can link at all, and pairs
 whose positions leave too small an overlap are dropped. In a first round each block's first set (its head)
-is compared with the others; verified links give components. In a second round a set's answers are derived
-from its head's: pairs inside a component need no look; of the others those whose similarities to a common
-head differ by more than the threshold allows can't link (Jaccard distance is a metric); the rest are
-compared. No link between components is lost, so components are exact.
+is paired with the others, as are sets of neighbouring sizes, and each set compared with a few of its
+pairs; links give components. In a second
+round a set's answers are derived from its head's: pairs inside a component need no look; of the others
+those whose similarities to a common head differ by more than the threshold allows can't link (Jaccard
+distance is a metric); the rest are compared. Before a comparison of texts the parities of both sets by
+hash class bound their difference from below; only pairs that the bound allows are compared. No link
+between components is lost, so components are exact.
 
 Lists of frequent shingles are salted by set, in number with their estimated length; their heads are
 compared across salts, and in the second round only the rows outside a list's most common component are
@@ -44,13 +47,20 @@ SAMPLE, HOT_COUNT = 32, 3
 HOT_BOUND = 1_000_000
 #: Estimated rows of one salt of a list.
 LIST_ROWS = 20_000
+#: Entries of lists of one common component that go to one bucket of the second round.
+FAMILY_ROWS = 50_000
+#: Sets next to each other by size that are paired in a list, and pairs of a set that are compared in the first round.
+CHAIN, WAVE = 3, 4
 #: Lists up to this length are compared pairwise at once.
 SHORT_LIST = 4
-#: Pairs of one hub that are verified in one bucket, and bytes of sets of a bucket (on average).
+#: Pairs of one hub that are verified in one bucket, and bytes of texts of a bucket (on average).
 HUB_PAIRS, BUCKET_BYTES = 500, 8 << 20
 #: Documents fetched for verification whose ids are broadcast; with more, they are joined by shuffle.
 BROADCAST_IDS = 500_000
 
+#: Characters of texts that are made into sets at a time (a longer text is by itself).
+SLICE_BYTES = 1 << 20
+
 _U = np.uint64
 _RNG = np.random.default_rng(20240607)
 _BYTE = _RNG.integers(0, 2**63, 256, np.uint64) * _U(2) + _U(1)
@@ -115,9 +125,34 @@ def signatures(doc: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray,
     return sizes, mixed(sums + sizes.astype(np.uint64) * _PLACE[1]).view(np.int64)
 
 
+def parities(doc: np.ndarray, value: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Bits of each set: whether the number of its hashes in each class is odd; four to eight classes for each hash."""
+    ends = np.cumsum(sizes)
+    out = []
+    for n, end in zip(sizes.tolist(), ends.tolist(), strict=True):
+        classes = _classes(n)
+        out.append(np.packbits(np.bincount((value[end - n : end] & _U(classes - 1)).astype(np.int64), minlength=classes).astype(np.uint8) & 1).tobytes())
+    return out
+
+
+def _classes(n: int) -> int:
+    return 1 << max(6, (4 * n - 1).bit_length())
+
+
+def _matrix(bits: list[bytes], width: int) -> np.ndarray:
+    """Rows of 64-bit words of parities folded to `width` classes (or half of a wider one's, never more)."""
+    out = np.zeros((len(bits), width // 64), np.uint64)
+    for i, b in enumerate(bits):
+        x = np.unpackbits(np.frombuffer(b, np.uint8))
+        while len(x) > width:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        out[i] = np.packbits(x).view(np.uint64)
+    return out
+
+
 def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, list[str]]]:
     texts = [t or "" for t in batch.column(column).to_pylist()]
-    for a, b in byte_slices([len(t) for t in texts]):
+    for a, b in byte_slices([len(t) for t in texts], SLICE_BYTES):
         yield a, b, texts[a:b]
 
 
@@ -164,7 +199,7 @@ def prefixes(doc: np.ndarray, value: np.ndarray, hot: np.ndarray, hot_n: np.ndar
 
 _ENTRY = np.dtype([("t", "<u8"), ("sig", "<i8"), ("n", "<u4"), ("pos", "<u4"), ("salt", "<u2"), ("salts", "<u2")])
 _DOC = np.dtype([("doc_id", "<i8"), ("sig", "<i8"), ("n", "<i8")])
-_OUT = "kind int, a long, b long, n int, pos int, salt int, salts int, head long"
+_OUT = "kind int, a long, b long, n int, pos int, salt int, salts int, head long, bits binary"
 
 
 def _index(docs: DataFrame, parts: int, hot: np.ndarray, hot_n: np.ndarray) -> DataFrame:
@@ -189,7 +224,10 @@ def _index(docs: DataFrame, parts: int, hot: np.ndarray, hot_n: np.ndarray) -> D
                 entries["t"], entries["sig"], entries["n"], entries["pos"], entries["salts"] = t, sig[d], sizes[d], pos, salts
                 entries["salt"] = mixed(sig[d].view(np.uint64)) % salts.astype(np.uint64)
                 out = []
-                for kind, array, key in ((0, rows, mixed(sig.view(np.uint64))), (1, entries, mixed(t + entries["salt"].astype(np.uint64)))):
+                own_part = (mixed(sig.view(np.uint64)) % _U(parts)).astype(np.int64)
+                for i, bits in enumerate(parities(doc, value, sizes)):
+                    out.append((int(own_part[i]), 0, rows[i : i + 1].tobytes() + bits))
+                for kind, array, key in ((1, entries, mixed(t + entries["salt"].astype(np.uint64))),):
                     part = (key % _U(parts)).astype(np.int64)
                     order = np.argsort(part, kind="stable")
                     array, part = array[order], part[order]
@@ -224,8 +262,9 @@ def _lists(e: np.ndarray) -> Iterator[np.ndarray]:
 def _first_round(pdf: pd.DataFrame) -> pd.DataFrame:
     """Of one part: documents (kind 0: doc_id, sig, n), pairs (1: head, other), entries of longer lists (2: t, sig)."""
     out = []
-    docs = np.concatenate([np.frombuffer(b, _DOC) for b in pdf.loc[pdf["kind"] == 0, "blob"]] or [np.zeros(0, _DOC)])
-    out.append(pd.DataFrame({"kind": 0, "a": docs["doc_id"], "b": docs["sig"], "n": docs["n"].astype(np.int32), "pos": 0, "salt": 0, "salts": 1, "head": 0}))
+    own = list(pdf.loc[pdf["kind"] == 0, "blob"])
+    docs = np.frombuffer(b"".join(b[: _DOC.itemsize] for b in own), _DOC)
+    out.append(pd.DataFrame({"kind": 0, "a": docs["doc_id"], "b": docs["sig"], "n": docs["n"].astype(np.int32), "pos": 0, "salt": 0, "salts": 1, "head": 0, "bits": [b[_DOC.itemsize :] for b in own]}))
     blobs = [np.frombuffer(b, _ENTRY) for b in pdf.loc[pdf["kind"] == 1, "blob"]]
     pairs, entries = [], []
     if blobs:
@@ -235,49 +274,96 @@ def _first_round(pdf: pd.DataFrame) -> pd.DataFrame:
                 i, j = np.triu_indices(len(e), 1)
                 head = None
             else:
-                # Blocks by size; the first set of each is its head.
+                # Blocks by size; the middle set of each is its head. Near sizes are paired too, so that a family of
+                # near copies grows together before the second round.
                 place = np.zeros(len(e), np.int64)
                 start = 0
                 while start < len(e):
-                    end = np.searchsorted(n, n[start] * DOWN // UP, side="right")
-                    place[start:end] = start
+                    end = int(np.searchsorted(n, n[start] * DOWN // UP, side="right"))
+                    place[start:end] = (start + end) // 2
                     start = end
-                i, j = place, np.arange(len(e))
+                every = np.arange(len(e))
+                i = np.concatenate([place, *[every[:-d] for d in range(1, CHAIN + 1)]])
+                j = np.concatenate([every, *[every[d:] for d in range(1, CHAIN + 1)]])
                 i, j = i[i != j], j[i != j]
                 head = e["sig"][place]
             ok = can_link(n[i], pos[i], n[j], pos[j])
             x, y = e["sig"][i[ok]], e["sig"][j[ok]]
             pairs.append(np.column_stack([x, y]))
             if head is not None:
-                entries.append(pd.DataFrame({"kind": 2, "a": e["t"].view(np.int64), "b": e["sig"], "n": n.astype(np.int32), "pos": pos.astype(np.int32), "salt": e["salt"].astype(np.int32), "salts": e["salts"].astype(np.int32), "head": head}))
+                entries.append(pd.DataFrame({"kind": 2, "a": e["t"].view(np.int64), "b": e["sig"], "n": n.astype(np.int32), "pos": pos.astype(np.int32), "salt": e["salt"].astype(np.int32), "salts": e["salts"].astype(np.int32), "head": head, "bits": None}))
     if pairs:
         both = np.unique(np.concatenate(pairs), axis=0)
-        out.append(pd.DataFrame({"kind": 1, "a": both[:, 0], "b": both[:, 1], "n": 0, "pos": 0, "salt": 0, "salts": 1, "head": 0}))
+        out.append(pd.DataFrame({"kind": 1, "a": both[:, 0], "b": both[:, 1], "n": 0, "pos": 0, "salt": 0, "salts": 1, "head": 0, "bits": None}))
     return pd.concat([*out, *entries], ignore_index=True)
 
 
-def _second_round(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of different components in one list that sizes, positions and common heads don't rule out."""
-    pdf = pdf.sort_values(["n", "b"], ignore_index=True)
-    n, pos, sig, comp, own = (pdf[c].to_numpy() for c in ("n", "pos", "b", "comp", "own"))
-    head, alike = pdf["head"].to_numpy(), pdf["alike"].to_numpy(float)
-    n, pos = n.astype(np.int64), pos.astype(np.int64)
-    lows = np.searchsorted(n, -(-n * UP // DOWN), side="left")
-    out = []
-    for i in range(len(n)):
-        j = np.arange(lows[i], i)
-        j = j[(comp[j] != comp[i]) & (own[j] | own[i])]
-        j = j[can_link(n[i], pos[i], n[j], pos[j])]
-        with np.errstate(invalid="ignore"):
-            j = j[~((head[j] == head[i]) & (np.abs(alike[j] - alike[i]) > 1 - UP / DOWN + 1e-9))]
-        if len(j):
-            out.append(np.column_stack([np.full(len(j), sig[i]), sig[j]]))
-    both = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-    return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
-
-
-def bucket_count(pairs: int, bytes_each: int = 5000) -> int:
-    """Buckets for which a bucket's sets take about BUCKET_BYTES."""
+def room(nx: np.ndarray, ny: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many hashes may differ beyond the classes of unequal parity for sets to link; negative: they can't."""
+    apart = np.bitwise_count(x ^ y).sum(axis=-1).astype(np.int64)
+    return nx + ny - 2 * (-(-(nx + ny) * UP // (UP + DOWN))) - apart
+
+
+def _second_round(entries: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+    """Of lists (a, to): pairs of different components that sizes, positions, common heads and parities don't rule out."""
+    out = [np.zeros((0, 2), np.int64)]
+    if len(entries):
+        sets = sets.sort_values("sig", ignore_index=True)
+        known, bits = sets["sig"].to_numpy(), list(sets["bits"])
+        width = np.array([8 * len(b) for b in bits])
+        folded = {w: _matrix([b if 8 * len(b) >= w else bytes(w // 8) for b in bits], w) for w in np.unique(width)}
+        entries = entries.sort_values(["a", "to", "n", "b"], ignore_index=True)
+        n, pos = entries["n"].to_numpy().astype(np.int64), entries["pos"].to_numpy().astype(np.int64)
+        sig, comp, own, head = (entries[c].to_numpy() for c in ("b", "comp", "own", "head"))
+        alike = entries["alike"].to_numpy(float)
+        at = np.searchsorted(known, sig)
+        lists = entries["a"].to_numpy(), entries["to"].to_numpy()
+        cuts = np.flatnonzero((lists[0][1:] != lists[0][:-1]) | (lists[1][1:] != lists[1][:-1])) + 1
+        for start, end in zip([0, *cuts], [*cuts, len(entries)], strict=True):
+            block = max(1, 20_000 // (end - start))
+            for first in range(start, end, block):
+                # Rows first.. against all later rows of the list, which are at least as large.
+                i, j = (x.ravel() for x in np.meshgrid(np.arange(first, min(first + block, end)), np.arange(first + 1, end), indexing="ij"))
+                keep = (j > i) & (comp[i] != comp[j]) & (own[i] | own[j])
+                i, j = i[keep], j[keep]
+                keep = can_link(n[i], pos[i], n[j], pos[j])
+                with np.errstate(invalid="ignore"):
+                    keep &= ~((head[i] == head[j]) & (np.abs(alike[i] - alike[j]) > 1 - UP / DOWN + 1e-9))
+                i, j = i[keep], j[keep]
+                common = np.minimum(width[at[i]], width[at[j]])
+                for w in np.unique(common):
+                    here = common == w
+                    x, y = i[here], j[here]
+                    ok = room(n[x], n[y], folded[w][at[x]], folded[w][at[y]]) >= 0
+                    out.append(np.column_stack([sig[x[ok]], sig[y[ok]]]))
+            if len(out) > 200:
+                out = [np.unique(np.sort(np.concatenate(out), axis=1), axis=0)]
+    both = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
+    return pd.DataFrame({"a": both[:, 1], "b": both[:, 0]})
+
+
+def _open_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose parities leave a link open, with the share of the room left; sets has sig, n and bits."""
+    x, y = (sets.select(F.col("sig").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in ("a", "b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 3))
+            ba, bb = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            width = np.array([8 * min(len(p), len(q)) for p, q in zip(ba, bb, strict=True)])
+            left = np.zeros(len(na), np.int64)
+            for w in np.unique(width):
+                at = np.flatnonzero(width == w)
+                left[at] = room(na[at], nb[at], _matrix([ba[i] for i in at], w), _matrix([bb[i] for i in at], w))
+            keep = pa.array(left >= 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(left / (na + nb)).filter(keep)], names=["a", "b", "room"])
+
+    rows = pairs.join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+    return rows.mapInArrow(run, "a long, b long, room double")
+
+
+def bucket_count(pairs: int, bytes_each: int = 4000) -> int:
+    """Buckets for which a bucket's texts take about BUCKET_BYTES."""
     return max(8, math.ceil(2 * pairs * bytes_each / BUCKET_BYTES))
 
 
@@ -288,26 +374,19 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, parts: int) ->
     dealt = pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("salts"))), F.lit(parts)).cast("int").alias("bucket"))
     dealt = written(dealt, "dealt")
     routes = dealt.select(F.col("a").alias("sig"), "bucket").union(dealt.select(F.col("b").alias("sig"), "bucket")).distinct()
-    need = routes.groupBy("sig").agg(F.collect_list("bucket").alias("buckets")).join(nodes, "sig").select("doc_id", "sig", "buckets")
+    need = routes.groupBy("sig").agg(F.collect_list("bucket").alias("buckets")).join(nodes.select("sig", "doc_id"), "sig").select("doc_id", "sig", "buckets")
     need = written(need, "need")
     if need.count() <= BROADCAST_IDS:
         need = F.broadcast(need)
-    found = docs.join(need, "doc_id").select("sig", "buckets", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sigs, buckets = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, _, texts in _texts(batch, 2):
-                doc, value = shingle_sets(texts)
-                sizes, got = signatures(doc, value, len(texts))
-                ends = np.cumsum(sizes)
-                rows = [(b, sigs[a + i], value[ends[i] - sizes[i] : ends[i]].tobytes()) for i in range(len(texts)) if got[i] == sigs[a + i] for b in buckets[a + i]]
-                for at in range(0, len(rows), 500):
-                    b, s, v = zip(*rows[at : at + 500], strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(s, pa.int64()), pa.array(v, pa.binary())], names=["bucket", "sig", "shingles"])
+    routed = docs.join(need, "doc_id").select(F.explode("buckets").alias("bucket"), "sig", "text")
 
     def compare(sets: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        known = {s: np.frombuffer(v, np.uint64) for s, v in zip(sets["sig"], sets["shingles"], strict=True)}
+        known = {}
+        for a, b in byte_slices([len(t) for t in sets["text"]], SLICE_BYTES):
+            doc, value = shingle_sets(list(sets["text"][a:b]))
+            sizes, got = signatures(doc, value, b - a)
+            ends = np.cumsum(sizes)
+            known.update({int(got[i]): value[ends[i] - sizes[i] : ends[i]] for i in range(b - a)})
         alike, linked = [], []
         for a, b in zip(pairs["a"], pairs["b"], strict=True):
             x, y = known[a], known[b]
@@ -320,8 +399,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, parts: int) ->
             linked.append(DOWN * inter >= UP * union)
         return pd.DataFrame({"a": pairs["a"], "b": pairs["b"], "alike": alike, "linked": linked})
 
-    sets = found.mapInArrow(run, "bucket int, sig long, shingles binary")
-    return written(sets.groupBy("bucket").cogroup(dealt.groupBy("bucket")).applyInPandas(compare, "a long, b long, alike double, linked boolean"), "compared")
+    return written(routed.groupBy("bucket").cogroup(dealt.groupBy("bucket")).applyInPandas(compare, "a long, b long, alike double, linked boolean"), "compared")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -351,13 +429,16 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     hot, hot_n = frequent(known)
     found = written(_index(known, parts, hot, hot_n).groupBy("part").applyInPandas(_first_round, _OUT), "first")
     rows = found.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("sig"), "n")
-    nodes = written(rows.where("n > 0").groupBy("sig", "n").agg(F.min("doc_id").alias("doc_id")), "nodes")
-    entries = found.where("kind = 2")
+    sets = found.where("kind = 0 AND n > 0").select(F.col("a").alias("doc_id"), F.col("b").alias("sig"), "n", "bits")
+    nodes = written(sets.groupBy("sig", "n").agg(F.min("doc_id").alias("doc_id"), F.max("bits").alias("bits")), "nodes")
+    entries = found.where("kind = 2").drop("bits")
     # Heads of the salts of one list are compared with the least of them.
     heads = entries.where("salts > 1").select("a", "head").distinct()
     across = heads.join(heads.groupBy("a").agg(F.min("head").alias("least")), "a").where("head <> least").select(F.col("least").alias("a"), F.col("head").alias("b"))
-    pairs = written(found.where("kind = 1").select("a", "b").union(across).distinct(), "pairs")
-    first = verified(pairs, nodes, known, parts)
+    pairs = written(_open_pairs(found.where("kind = 1").select("a", "b").union(across).distinct(), nodes), "pairs")
+    # Of each set's pairs the likeliest ones first: as many as WAVE.
+    best = pairs.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("room", "a")), asc=False), 1, WAVE).alias("best"))
+    first = verified(best.select(F.explode("best").alias("p"), "b").select("p.a", "b"), nodes, known, parts)
     comps = components(first.where("linked").select("a", "b"))
     # Lists with more than one component; rows outside the most common one go to every salt.
     placed = entries.join(comps.withColumnRenamed("node", "b"), "b", "left").withColumn("comp", F.coalesce("comp", "b"))
@@ -367,8 +448,17 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     placed = placed.join(alike, ["head", "b"], "left").withColumn("alike", F.when(F.col("head") == F.col("b"), F.lit(1.0)).otherwise(F.col("alike")))
     copies = F.when((F.col("comp") != F.col("common")) & (F.col("salts") > 1), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array("salt"))
     placed = placed.withColumn("to", F.explode(copies)).withColumn("own", F.col("to") == F.col("salt"))
-    columns = ["a", "b", "n", "pos", "head", "alike", "comp", "own", "to"]
-    more = placed.select(*columns).groupBy("a", "to").applyInPandas(_second_round, "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    # Lists of one common component go together, so that a pair of many lists is told once; large families are dealt out.
+    size = placed.groupBy("common").agg(F.ceil(F.count("*") / FAMILY_ROWS).cast("long").alias("shares"))
+    share = F.pmod(F.xxhash64("a", "to"), F.col("shares"))
+    listed = placed.join(size, "common").withColumn("bucket", F.pmod(F.xxhash64("common", share), F.lit(16 * parts)).cast("int"))
+    listed = written(listed.select("bucket", "a", "b", "n", "pos", "head", "alike", "comp", "own", "to"), "listed")
+    held = listed.select(F.col("bucket").alias("part"), F.col("b").alias("sig")).distinct().join(nodes.select("sig", "bits"), "sig")
+    more = listed.groupBy("bucket").cogroup(held.groupBy("part")).applyInPandas(_second_round, "a long, b long")
+    # Pairs of the first round that are not compared yet, between components.
+    place = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"comp_{c}"))
+    rest = pairs.join(place("a"), "a", "left").join(place("b"), "b", "left").where("coalesce(comp_a, a) <> coalesce(comp_b, b)").select("a", "b")
+    more = written(more.union(rest).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "told")
     done = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     more = written(more.join(done, ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
