@@ -2,19 +2,20 @@
 
 Training happens on the driver from the families' templates, their variants, decoys and a bounded sample of
 corpus paragraphs: one lasso logistic regression per family over words and word pairs. The few n-grams of
-non-zero weight become literals of the scan. A document is looked at further only if it holds an anchor (a
-word that every positive decision needs); its paragraphs that hold one are scored. A paragraph whose best
-probability is below the calibrated threshold is `unknown`. A prediction is confirmed when enough of a
+non-zero weight become literals of the scan. Scored is every paragraph that can reach the calibrated threshold:
+those with a gate n-gram, without which a family's bias and positive weights stay below it (`gate`), and those
+with an anchor or a rights notice. A paragraph with an anchor or a rights notice whose best probability is below
+the threshold is `unknown`; other paragraphs below it give no row. A prediction is confirmed when enough of a
 template's word pairs are in the paragraph. The scan is one projection: no shuffle, no join.
 
 A paragraph is a line that is not blank; offsets count code points. Null text has no paragraphs. Documents
-without candidate paragraphs give no rows; repeated rows give repeated results. Extra columns are ignored.
+without such paragraphs give no rows; repeated rows give repeated results. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -64,6 +65,8 @@ DECOYS = (
     "licensed under a private agreement between the parties", "released under pressure from the public", "subject to the terms of the contract",
 )
 ANCHORS = ("license", "licensed", "licenses", "licence", "licenced", "permission", "redistribution", "redistribute", "spdx")
+#: A notice that names no licence.
+RIGHTS = r"(?<![\p{L}\p{N}])rights[^\p{L}\p{N}]+(are[^\p{L}\p{N}]+)?reserved(?![\p{L}\p{N}])"
 #: Bound of the sample of documents (in expectation) whose paragraphs serve as negatives, and of these paragraphs.
 FIT_DOCS, FIT_PARAGRAPHS = 300, 3000
 CONFIRM = 0.6
@@ -84,6 +87,7 @@ class LicenseModel:
     weights: dict[str, list[float]]  # n-gram -> weight by family
     bias: list[float]
     threshold: float
+    seen: dict[str, int] = field(default_factory=dict)  # n-gram -> negatives that hold it
 
 
 def fit_families(negatives: list[str]) -> LicenseModel:
@@ -127,33 +131,80 @@ def fit_families(negatives: list[str]) -> LicenseModel:
     best = (1 / (1 + np.exp(-(x @ weights + bias)))).max(1)
     threshold = float(min(0.9, max(0.5, np.quantile(best[y < 0], 0.995) + 0.02)))
     kept = {g: [float(v) for v in weights[i]] for g, i in place.items() if np.abs(weights[i]).max() > 1e-3}
-    return LicenseModel(families, kept, [float(b) for b in bias], threshold)
+    seen = {g: sum(g in h for h in held[-len(negatives) :]) for g in kept} if negatives else {}
+    return LicenseModel(families, kept, [float(b) for b in bias], threshold, seen)
 
 
 def fit(docs: DataFrame, seed: int = 9) -> LicenseModel:
     n = docs.count()
     sample = docs.where(hash_share(seed, F.col("doc_id")) < min(1.0, FIT_DOCS / max(n, 1))).select(F.col("text").cast("string").alias("text"))
-    lines = sample.select(F.explode(F.split("text", "\n")).alias("line")).where(~F.lower("line").rlike(_anchor_pattern())).orderBy("line").limit(FIT_PARAGRAPHS)
-    return fit_families([r["line"] for r in lines.collect()])
+    lines = sample.select(F.explode(F.split("text", "\n")).alias("line"))
+    # A line with an anchor and a word pair of a template may be a notice: it is no negative.
+    notice = F.lower("line").rlike(_anchor_pattern()) & F.lower("line").rlike(_grams_pattern(sorted({p for ts in TEMPLATES.values() for t in ts for p in grams(tokens(t)) if " " in p})))
+    return fit_families([r["line"] for r in lines.where(~notice).orderBy("line").limit(FIT_PARAGRAPHS).collect()])
+
+
+def gate(model: LicenseModel) -> list[str] | None:
+    """n-grams of which every paragraph that reaches the threshold holds one; None if it takes no n-gram to reach it.
+
+    Those left out, per family, add up to less than the threshold: the ones that most negatives hold for their weight.
+    """
+    limit = float(np.log(model.threshold / (1 - model.threshold))) - 1e-6
+    needed = set()
+    for k, most in enumerate(model.bias):
+        if most >= limit:
+            return None
+        positive = sorted(((model.seen.get(g, 0) / w[k], -w[k], g) for g, w in model.weights.items() if w[k] > 0), key=lambda x: (-x[0], -x[1], x[2]))
+        for _, weight, gram in positive:
+            if most - weight < limit:
+                most -= weight
+            else:
+                needed.add(gram)
+    return sorted(needed)
 
 
 def _anchor_pattern() -> str:
     return "(?<![a-z])(" + "|".join(ANCHORS) + ")(?![a-z])"
 
 
+def _grams_pattern(found: list[str]) -> str:
+    """Matches each lower-case text that holds one of the n-grams (and some more); common beginnings are tried once."""
+    tree: dict = {}
+    for gram in found:
+        node = tree
+        for c in gram:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def written(node: dict) -> str:
+        parts = [c and (r"[^\p{L}\p{N}]+" if c == " " else re.escape(c)) + written(n) for c, n in sorted(node.items(), reverse=True)]
+        return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+
+    return r"(?<![\p{L}\p{N}])" + written(tree) + r"(?![\p{L}\p{N}])"
+
+
+def _candidate(text: Column, model: LicenseModel) -> Column:
+    found = gate(model)
+    if found is None:
+        return F.lit(True)
+    text = F.lower(text)
+    named = text.rlike(_anchor_pattern()) | text.rlike(RIGHTS)
+    return named | text.rlike(_grams_pattern(found)) if found else named
+
+
 def _sum(found: Column, table: Column, k: int) -> Column:
     return F.aggregate(found, F.lit(0.0), lambda acc, g: acc + F.coalesce(F.get(table[g], F.lit(k)), F.lit(0.0)))
 
 
 def license_paragraphs(docs: DataFrame, model: LicenseModel) -> DataFrame:
-    """doc_id, paragraph (its number), start, end, family, probability, similarity, confirmed of each candidate paragraph."""
+    """doc_id, paragraph (its number), start, end, family, probability, similarity, confirmed of each paragraph of a family or `unknown`."""
     text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).where(F.lower(text).rlike(_anchor_pattern()))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).where(_candidate(text, model))
     lines = rows.select("doc_id", F.split("text", "\n").alias("lines"))
     sizes = lines.select("doc_id", F.transform("lines", lambda x, i: F.struct(x.alias("line"), i.alias("paragraph"))).alias("all"), "lines")
-    picked = sizes.select("doc_id", "lines", F.explode(F.filter("all", lambda s: F.lower(s["line"]).rlike(_anchor_pattern()))).alias("p"))
+    picked = sizes.select("doc_id", "lines", F.explode(F.filter("all", lambda s: (F.trim(s["line"]) != "") & _candidate(s["line"], model))).alias("p"))
     start = F.aggregate(F.slice("lines", F.lit(1), F.col("p.paragraph")), F.lit(0), lambda acc, x: acc + F.char_length(x) + 1)
-    rows = picked.select("doc_id", F.col("p.paragraph").alias("paragraph"), start.alias("start"), (start + F.char_length("p.line")).alias("end"), F.filter(F.split(F.lower("p.line"), _GAP), lambda w: w != "").alias("words"))
+    rows = picked.select("doc_id", F.col("p.paragraph").alias("paragraph"), start.alias("start"), (start + F.char_length("p.line")).alias("end"), F.filter(F.split(F.lower("p.line"), _GAP), lambda w: w != "").alias("words"), (F.lower("p.line").rlike(_anchor_pattern()) | F.lower("p.line").rlike(RIGHTS)).alias("named"))
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - 1, F.lit(1))), lambda i: F.array_join(F.slice("words", i, F.lit(2)), " "))
     rows = rows.withColumn("pairs", F.array_distinct(F.when(F.size("words") >= 2, pairs).otherwise(F.expr("cast(array() as array<string>)"))))
     known = sorted(model.weights)
@@ -168,7 +219,9 @@ def license_paragraphs(docs: DataFrame, model: LicenseModel) -> DataFrame:
         similar = F.when(F.col("best.family") == family, F.greatest(*alike, F.lit(0.0))).otherwise(similar)
     sure = F.col("best.probability") >= model.threshold
     rows = rows.withColumn("similarity", F.when(sure, similar).otherwise(F.lit(0.0)))
-    return rows.select(
+    row = F.struct(
         "doc_id", "paragraph", "start", "end", F.when(sure, F.col("best.family")).otherwise(F.lit("unknown")).alias("family"), F.col("best.probability").alias("probability"), "similarity",
         (sure & (F.col("similarity") >= CONFIRM)).alias("confirmed"),
     )
+    # No filter: pushed below the projections, it would compute the scores again for each use.
+    return rows.select(F.explode(F.when(sure | F.col("named"), F.array(row))).alias("r")).select("r.*")

@@ -261,6 +261,31 @@ def test_licenses(spark, documents, odd):
     assert licenses.license_paragraphs(odd, licenses.fit(odd)).count() == 0
 
 
+def test_licenses_without_anchor_words(spark, documents):
+    model = licenses.fit(documents)
+    texts = ["Intro.\nAll rights reserved.\nMore.", "Creative Commons Attribution 4.0 International", "GNU General Public, version 3", "Mit.", "the word of it"]
+    got = {r.doc_id: r for r in licenses.license_paragraphs(docs_of(spark, texts), model).collect()}
+    assert {i: r.family for i, r in got.items()} == {0: "unknown", 1: "cc-by", 2: "gpl"}
+    assert texts[0][got[0].start : got[0].end] == "All rights reserved." and got[0].paragraph == 1
+
+
+def test_license_gate_loses_no_paragraph(spark, documents):
+    """Against all paragraphs scored one by one."""
+    model = licenses.fit(documents)
+    limit = np.log(model.threshold / (1 - model.threshold))
+    parts = sorted(model.weights)
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(parts) for _ in range(rng.randrange(1, 6))) for _ in range(400)] + [r.text for r in documents.select("text").collect()]
+    want = set()
+    for i, text in enumerate(texts):
+        for j, line in enumerate((text or "").split("\n")):
+            held = [model.weights[g] for g in licenses.grams(licenses.tokens(line)) if g in model.weights]
+            if max(sum(w[k] for w in held) + b for k, b in enumerate(model.bias)) >= limit:
+                want.add((i, j))
+    got = {(r.doc_id, r.paragraph) for r in licenses.license_paragraphs(docs_of(spark, texts), model).collect() if r.family != "unknown"}
+    assert got == want and len(want) > 20
+
+
 def test_quality(spark, documents, odd):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     held = common.held_out(F.col("doc_id"), 3, 1)
