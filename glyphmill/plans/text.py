@@ -40,6 +40,13 @@ def quoted_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").where(~F.contains("text", F.lit("'"))).select("doc_id", F.array_join(S.quoted_words(prompt), "|").alias("words"))
 
 
+@query("F5", "SELECT doc_id, array_to_string(list_filter(flatten(list_transform(regexp_extract_all('say ''' || replace(text, chr(10), '''' || chr(10) || '''') || ''' and ''Two  Words''', '''([^\\n]*?)''', 1), lambda q: string_split_regex(lower(q), '\\s+'))), lambda w: w <> ''), '|') AS words FROM documents")
+def quoted_words_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """quoted_words over the whole text of every row; each line is quoted, for quotes end with the line."""
+    prompt = F.concat(F.lit("say '"), F.replace("text", F.lit("\n"), F.lit("'\n'")), F.lit("' and 'Two  Words'"))
+    return load(spark, sf_dir, "documents").select("doc_id", F.array_join(S.quoted_words(prompt), "|").alias("words"))
+
+
 @query("F6", "SELECT item_id, lower(trim(regexp_replace(regexp_replace(text, '[^\\x{4e00}-\\x{9fa5}a-zA-Z0-9\\sàâäéèêëîïôöùûüçÀÂÄÉÈÊËÎÏÔÖÙÛÜÇ]', '', 'g'), '\\s+', ' ', 'g'))) AS en, regexp_replace(regexp_replace(text, '[^\\x{4e00}-\\x{9fa5}a-zA-Z0-9\\sàâäéèêëîïôöùûüçÀÂÄÉÈÊËÎÏÔÖÙÛÜÇ]', '', 'g'), '\\s+', '', 'g') AS zh FROM benchmark")
 def text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "benchmark").select("item_id", S.normalized(F.col("text")).alias("en"), S.normalized(F.col("text"), "zh").alias("zh"))

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from compare import assert_same, database
 
@@ -28,3 +30,14 @@ def test_images_column_pruned(spark):
     plan = registry.QUERIES["bucket_counts"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "text" not in plan.split("ReadSchema")[-1]
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def rows_of(spark, name):
+    return spark.read.parquet(f"{SF}/{name}.parquet").collect()
+
+
+def test_quoted_words_of_whole_texts(spark):
+    prompts = {d.doc_id: "say '" + d.text.replace("\n", "'\n'") + "' and 'Two  Words'" for d in rows_of(spark, "documents")}
+    found = {r.doc_id: r.words for r in registry.QUERIES["quoted_words_whole"](spark, SF).collect()}
+    assert found == {i: "|".join(w for m in re.findall(r"'(.*?)'", p) for w in m.lower().split()) for i, p in prompts.items()}
+    assert all(found[d.doc_id] == "|".join([*d.text.lower().split(), "two", "words"]) for d in rows_of(spark, "documents") if "'" not in d.text)
