@@ -96,9 +96,10 @@ def model_slot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("J13 F13")
 def closest_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.split("text", " ")
-    rows = load(spark, sf_dir, "benchmark").select("item_id", F.get(words, 0).alias("word"), F.slice(words, 2, 20).alias("others"))
-    return models.best_matches(rows, "word", "others").select("item_id", "word", "match")
+    """Each word against the other words of its text."""
+    rows = load(spark, sf_dir, "benchmark").select("item_id", F.split("text", " ").alias("words")).select("item_id", "words", F.posexplode("words").alias("place", "word"))
+    others = F.filter("words", lambda w, i: i != F.col("place"))
+    return models.best_matches(rows.withColumn("others", others), "word", "others").select("item_id", "place", "word", "match")
 
 
 @query("T10 D18", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")

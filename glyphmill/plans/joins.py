@@ -106,6 +106,14 @@ def nearest_word(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("distance IS NOT NULL").select("item_id", F.col("place").cast("long").alias("place"), "word", F.col("distance").cast("long").alias("distance"))
 
 
+@query("J13", "WITH a AS (SELECT item_id, generate_subscripts(w, 1) - 1 AS place, unnest(w) AS word FROM (SELECT item_id, string_split(regexp_replace(text, '[^ -~]', 'x', 'g'), ' ') AS w FROM benchmark)), b AS (SELECT item_id - 1 AS item_id, unnest(string_split(regexp_replace(text, '[^ -~]', 'x', 'g'), ' ')) AS v FROM benchmark) SELECT item_id, place, word, min(levenshtein(word, v)) AS distance FROM a JOIN b USING (item_id) GROUP BY 1, 2, 3")
+def nearest_word_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each word of a text against each word of the next one."""
+    rows = load(spark, sf_dir, "benchmark").select("item_id", F.split(F.regexp_replace("text", "[^ -~]", "x"), " ").alias("words"))
+    found = J.nearest_words(rows, rows.withColumn("item_id", F.col("item_id") - 1), "item_id")
+    return found.where("distance IS NOT NULL").select("item_id", F.col("place").cast("long").alias("place"), "word", F.col("distance").cast("long").alias("distance"))
+
+
 @query("J15 D21", """WITH RECURSIVE q AS (SELECT conv_id AS item, turn + 1 AS qid, CASE WHEN turn % 3 = 0 THEN 0 ELSE turn END AS parent, CASE WHEN length(text) % 3 = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS score FROM conversations),
   r AS (SELECT item, qid, score FROM q WHERE parent = 0 UNION ALL SELECT q.item, q.qid, CASE WHEN r.score = 0 THEN 0.0 ELSE q.score END::DOUBLE FROM q JOIN r ON q.item = r.item AND q.parent = r.qid) SELECT * FROM r""")
 def dependency_zeroing(spark: SparkSession, sf_dir: str) -> DataFrame:

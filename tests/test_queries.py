@@ -1,3 +1,4 @@
+import difflib
 import re
 
 import pytest
@@ -41,3 +42,14 @@ def test_quoted_words_of_whole_texts(spark):
     found = {r.doc_id: r.words for r in registry.QUERIES["quoted_words_whole"](spark, SF).collect()}
     assert found == {i: "|".join(w for m in re.findall(r"'(.*?)'", p) for w in m.lower().split()) for i, p in prompts.items()}
     assert all(found[d.doc_id] == "|".join([*d.text.lower().split(), "two", "words"]) for d in rows_of(spark, "documents") if "'" not in d.text)
+
+
+def test_every_word_is_looked_up(spark):
+    words = {r.item_id: r.text.split(" ") for r in rows_of(spark, "benchmark")}
+    nearest = registry.QUERIES["nearest_word_whole"](spark, SF).collect()
+    assert sorted((r.item_id, r.place) for r in nearest) == sorted((k, i) for k, w in words.items() if k + 1 in words for i in range(len(w)))
+    closest = registry.QUERIES["closest_words"](spark, SF).collect()
+    assert sorted((r.item_id, r.place) for r in closest) == sorted((k, i) for k, w in words.items() for i in range(len(w)))
+    for r in closest[::29]:
+        rest = words[r.item_id][: r.place] + words[r.item_id][r.place + 1 :]
+        assert r.match == next(iter(difflib.get_close_matches(r.word, rest, 1, 0.0)), None)
