@@ -94,6 +94,13 @@ def model_slot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.apply_model(rows, "text", "caption", lambda: lambda texts: texts.map(lambda t: f"n{len(t)}")).select("doc_id", "caption")
 
 
+@query("X5 X6 X9 K8 D8", "SELECT doc_id, 'n' || length(text) AS caption FROM documents")
+def model_slot_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """model_slot over all documents."""
+    rows = load(spark, sf_dir, "documents")
+    return models.apply_model(rows, "text", "caption", lambda: lambda texts: texts.map(lambda t: f"n{len(t)}", na_action="ignore")).select("doc_id", "caption")
+
+
 @query("J13 F13")
 def closest_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each word against the other words of its text."""

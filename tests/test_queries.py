@@ -53,3 +53,8 @@ def test_every_word_is_looked_up(spark):
     for r in closest[::29]:
         rest = words[r.item_id][: r.place] + words[r.item_id][r.place + 1 :]
         assert r.match == next(iter(difflib.get_close_matches(r.word, rest, 1, 0.0)), None)
+
+
+def test_model_slot_takes_every_document(spark):
+    found = {r.doc_id: r.caption for r in registry.QUERIES["model_slot_whole"](spark, SF).collect()}
+    assert found == {d.doc_id: f"n{len(d.text)}" for d in rows_of(spark, "documents")}
