@@ -20,6 +20,13 @@ def most_common_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.orderBy(F.desc("n"), "first").limit(10).select("mode", "n")
 
 
+@query("A2b O4", "SELECT lang || '/' || source AS mode, count(*) AS n FROM documents GROUP BY 1 ORDER BY n DESC, min(doc_id)")
+def most_common_modes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """most_common_modes without its limit."""
+    rows = load(spark, sf_dir, "documents").groupBy(F.concat_ws("/", "lang", "source").alias("mode")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+    return rows.orderBy(F.desc("n"), "first").select("mode", "n")
+
+
 @query("A2c", "SELECT string_split(key, '/')[1] AS prefix, count(*) AS n FROM {images} GROUP BY 1")
 def prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images(spark, sf_dir).groupBy(F.substring_index("key", "/", 1).alias("prefix")).agg(F.count("*").alias("n"))

@@ -1,5 +1,6 @@
 import difflib
 import re
+from collections import Counter
 
 import pytest
 from compare import assert_same, database
@@ -58,3 +59,10 @@ def test_every_word_is_looked_up(spark):
 def test_model_slot_takes_every_document(spark):
     found = {r.doc_id: r.caption for r in registry.QUERIES["model_slot_whole"](spark, SF).collect()}
     assert found == {d.doc_id: f"n{len(d.text)}" for d in rows_of(spark, "documents")}
+
+
+def test_sorted_results_are_not_cut(spark):
+    docs = sorted(rows_of(spark, "documents"), key=lambda d: d.doc_id)
+    assert [tuple(r) for r in registry.QUERIES["numeric_stems_whole"](spark, SF).collect()] == [divmod(d.doc_id, 10) for d in docs]
+    counts = Counter(f"{d.lang}/{d.source}" for d in docs).most_common()  # ties: first seen
+    assert [tuple(r) for r in registry.QUERIES["most_common_modes_whole"](spark, SF).collect()] == counts
