@@ -92,6 +92,13 @@ def banded_pairs(rows: DataFrame, distance: int = 3, off: float = 0.05, dense: i
     return pairs.select(F.col("a_id").alias("first"), F.col("id").alias("second"), hamming(F.col("hash"), F.col("a_hash")).alias("distance")).distinct()
 
 
+def skipped_lookups(rows: DataFrame, dense: int = 256) -> DataFrame:
+    """lookups and how many of them banded_pairs with this `dense` skips (one row)."""
+    bins = rows.select(F.posexplode(F.array(*[F.shiftrightunsigned("hash", 16 * b).bitwiseAND(F.lit(65535)) for b in range(4)])).alias("band", "value"))
+    sizes = bins.groupBy("band", "value").agg(F.count("*").alias("n"))
+    return sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("lookups"), F.coalesce(F.sum(F.greatest(F.col("n") - dense - 1, F.lit(0))), F.lit(0)).alias("skipped"))
+
+
 def zeroed_by_parents(questions: DataFrame, cascade: bool = True) -> DataFrame:
     """item, qid, score of questions (item, qid, parent, score): 0 where the parent's score is 0; parent 0 is none.
 

@@ -89,13 +89,31 @@ def reconcile_expected(spark: SparkSession, sf_dir: str) -> DataFrame:
 _HASHED_SQL = "SELECT doc_id AS ord, doc_id AS id, CAST(doc_id % 50 AS UBIGINT) * 72340172838076673 & 9223372036854775807 AS base, CAST(1 AS UBIGINT) << CAST(doc_id % 60 AS INT) AS bit, width / height AS aspect, doc_id % 7 AS pixels FROM {images}"
 
 
+def _hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images(spark, sf_dir).selectExpr("doc_id AS ord", "doc_id AS id", "((doc_id % 50) * 72340172838076673) ^ shiftleft(1L, cast(doc_id % 60 as int)) AS hash", "width / height AS aspect", "doc_id % 7 AS pixels")
+
+
 @query("J11 M14 M13", f"""WITH h AS (SELECT ord, id, CAST(xor(base, bit) AS BIGINT) AS hash, aspect, pixels FROM ({_HASHED_SQL})), b AS (SELECT *, (hash >> CAST(16 * band AS BIGINT)) & 65535 AS value FROM h, (VALUES (0), (1), (2), (3)) v(band)),
   r AS (SELECT *, row_number() OVER (PARTITION BY band, value ORDER BY ord) - 1 AS before FROM b)
   SELECT DISTINCT x.id AS first, y.id AS second, CAST(bit_count(xor(x.hash, y.hash)) AS INTEGER) AS distance FROM r x JOIN r y ON x.band = y.band AND x.value = y.value AND x.ord < y.ord
   WHERE y.before <= 256 AND x.pixels <> y.pixels AND bit_count(xor(x.hash, y.hash)) <= 3 AND abs(ln(y.aspect / x.aspect)) <= 0.05""")
 def near_dup_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = images(spark, sf_dir).selectExpr("doc_id AS ord", "doc_id AS id", "((doc_id % 50) * 72340172838076673) ^ shiftleft(1L, cast(doc_id % 60 as int)) AS hash", "width / height AS aspect", "doc_id % 7 AS pixels")
-    return J.banded_pairs(rows)
+    return J.banded_pairs(_hashed(spark, sf_dir))
+
+
+@query("J11 M14 M13", f"""WITH h AS (SELECT ord, id, CAST(xor(base, bit) AS BIGINT) AS hash, aspect, pixels FROM ({_HASHED_SQL}))
+  SELECT x.id AS first, y.id AS second, CAST(bit_count(xor(x.hash, y.hash)) AS INTEGER) AS distance FROM h x JOIN h y ON x.ord < y.ord
+  WHERE x.pixels <> y.pixels AND bit_count(xor(x.hash, y.hash)) <= 3 AND abs(ln(y.aspect / x.aspect)) <= 0.05""")
+def near_dup_bands_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_dup_bands with no lookup skipped."""
+    return J.banded_pairs(_hashed(spark, sf_dir), dense=None)
+
+
+@query("J11", f"""WITH h AS (SELECT CAST(xor(base, bit) AS BIGINT) AS hash FROM ({_HASHED_SQL})), b AS (SELECT count(*) AS n FROM h, (VALUES (0), (1), (2), (3)) v(band) GROUP BY band, (hash >> CAST(16 * band AS BIGINT)) & 65535)
+  SELECT CAST(sum(n) AS BIGINT) AS lookups, CAST(sum(greatest(n - 257, 0)) AS BIGINT) AS skipped FROM b""")
+def near_dup_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lookups that near_dup_bands skips."""
+    return J.skipped_lookups(_hashed(spark, sf_dir))
 
 
 @query("J13", "WITH a AS (SELECT item_id, generate_subscripts(w, 1) - 1 AS place, unnest(w) AS word FROM (SELECT item_id, string_split(regexp_replace(text, '[^ -~]', 'x', 'g'), ' ')[1:5] AS w FROM benchmark)), b AS (SELECT item_id - 1 AS item_id, unnest(string_split(regexp_replace(text, '[^ -~]', 'x', 'g'), ' ')[1:8]) AS v FROM benchmark) SELECT item_id, place, word, min(levenshtein(word, v)) AS distance FROM a JOIN b USING (item_id) GROUP BY 1, 2, 3")

@@ -1,4 +1,5 @@
 import difflib
+import math
 import re
 from collections import Counter
 
@@ -66,3 +67,15 @@ def test_sorted_results_are_not_cut(spark):
     assert [tuple(r) for r in registry.QUERIES["numeric_stems_whole"](spark, SF).collect()] == [divmod(d.doc_id, 10) for d in docs]
     counts = Counter(f"{d.lang}/{d.source}" for d in docs).most_common()  # ties: first seen
     assert [tuple(r) for r in registry.QUERIES["most_common_modes_whole"](spark, SF).collect()] == counts
+
+
+def test_dense_bins_are_counted_and_taken_exactly(spark, tmp_path):
+    spark.range(400).selectExpr("id * 50 AS doc_id", "'s' AS source", "'t' AS text", "'en' AS lang", "1L AS n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    at = lambda i: ((1 << i % 60), (200 + i * 7919 % 4000) / (200 + i * 104729 % 4000), i % 7)
+    rows = [(i, *at(i)) for i in range(0, 20000, 50)]
+    want = sorted((a, b) for a, h, r, p in rows for b, k, q, s in rows if a < b and p != s and (h ^ k).bit_count() <= 3 and abs(math.log(q / r)) <= 0.05)
+    assert sorted((r.first, r.second) for r in registry.QUERIES["near_dup_bands_exact"](spark, str(tmp_path)).select("first", "second").toPandas().itertuples()) == want
+    bins = Counter((b, h >> 16 * b & 65535) for _, h, _, _ in rows for b in range(4))
+    skipped = sum(max(n - 257, 0) for n in bins.values())
+    assert tuple(registry.QUERIES["near_dup_skipped"](spark, str(tmp_path)).first()) == (1600, skipped) and skipped
+    assert registry.QUERIES["near_dup_bands"](spark, str(tmp_path)).count() <= len(want)
