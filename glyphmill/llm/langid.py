@@ -6,6 +6,8 @@ centroids from spherical k-means over a bounded sample of FIT_ROWS rows of each
 the language of its nearest centroid; `rejected` marks one that is farther from it than nearly all of the
 centroid's training texts.
 
+A text's score depends on the text and the model only, not on the texts beside it in a batch.
+
 A text that is null or has no letters is `und` with score 0, as is every text when nothing can be learned.
 Equal distances go to the language that sorts first. Repeated rows give repeated results. Extra columns
 are ignored.
@@ -53,7 +55,10 @@ def counts(texts: list[str]) -> np.ndarray:
     x = _FOLD[np.frombuffer(b"".join(raw), np.uint8)]
     code = ((x[:-2] * np.uint32(0x9E3779B1)) ^ (x[1:-1] * np.uint32(0x85EBCA77)) ^ (x[2:] * np.uint32(0xC2B2AE3D))) * np.uint32(0x27D4EB2F)
     code = (code >> np.uint32(20)).astype(np.int64) + np.repeat(np.arange(len(texts)) * DIMENSIONS, sizes)[:-2]
-    return np.bincount(code, minlength=len(texts) * DIMENSIONS).reshape(len(texts), DIMENSIONS)
+    inside = np.ones(len(x), bool)  # a trigram ends in the text that it begins in
+    ends = np.cumsum(sizes)
+    inside[ends - 1] = inside[ends - 2] = False
+    return np.bincount(code[inside[:-2]], minlength=len(texts) * DIMENSIONS).reshape(len(texts), DIMENSIONS)
 
 
 def steps(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -67,6 +72,11 @@ def vectors(texts: list[str], idf: np.ndarray) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
 
+def cosines(v: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """texts x centroids, each row summed by itself: a matrix product's rounding depends on the number of rows."""
+    return np.einsum("ij,kj->ik", v, centres)
+
+
 def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
     """In how many texts each dimension occurs, and the number of texts; the collected table has DIMENSIONS + 1 rows."""
 
@@ -128,7 +138,7 @@ def languages(docs: DataFrame, model: Centroids | None) -> DataFrame:
             lang, score, far = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
             if model is not None:
                 for a, b in steps(texts):
-                    cosine = vectors(texts[a:b], model.idf) @ model.vectors.T
+                    cosine = cosines(vectors(texts[a:b], model.idf), model.vectors)
                     best = cosine.argmax(1)
                     for i, j in enumerate(best):
                         if _LETTER.search(texts[a + i]):

@@ -325,3 +325,29 @@ def test_pipeline_runs(spark):
             assert out.dtypes == docs.dtypes
             docs = common.written(out, f"stage{i}")
     assert out.count()
+
+
+def test_language_scores_do_not_depend_on_the_batch(spark, documents):
+    model = langid.fit(documents, F.lit(True))
+    scores = lambda df: {r.doc_id: (r.lang_pred, r.score) for r in langid.languages(df, model).collect()}
+    assert scores(documents.repartition(1)) == scores(documents.repartition(7))
+    assert (langid.counts(["hello world", "xyz"])[0] == langid.counts(["hello world"])[0]).all()
+
+
+def test_languages_against_plain_cosines(spark, documents):
+    """Each text by itself, trigram by trigram."""
+    model = langid.fit(documents, F.lit(True))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.languages(documents, model).collect()}
+    rows = documents.collect()
+    for r in rows[:: max(1, len(rows) // 60)]:
+        raw = [c if chr(c).isalpha() or c >= 128 else 32 for c in b" " + (r.text or "").lower().encode() + b"  "]
+        count = {}
+        for x, y, z in zip(raw, raw[1:], raw[2:], strict=False):
+            code = ((x * 0x9E3779B1) ^ (y * 0x85EBCA77) ^ (z * 0xC2B2AE3D)) & 0xFFFFFFFF
+            at = (code * 0x27D4EB2F & 0xFFFFFFFF) >> 20
+            count[at] = count.get(at, 0) + 1
+        vector = {k: np.log1p(n) * model.idf[k] for k, n in count.items()}
+        norm = sum(v * v for v in vector.values()) ** 0.5
+        cosine = [sum(v * float(c[k]) for k, v in vector.items()) / norm for c in model.vectors]
+        best = int(np.argmax(cosine))
+        assert got[r.doc_id][0] == model.languages[best] and abs(got[r.doc_id][1] - cosine[best]) < 1e-4
