@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,9 +30,11 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; only where it is unset (tests) a local one."""
+    """The folder that the cluster names in spark.checkpoint.dir; only where it is unset, on one machine (tests), a local one."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if path is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="glyphmill-")
         spark.conf.set("spark.checkpoint.dir", path)
         spark.sparkContext.setCheckpointDir(path)
@@ -69,6 +73,20 @@ def byte_slices(sizes: Iterable[int], limit: int = KERNEL_BYTES) -> Iterator[tup
         yield start, len(sizes)
 
 
+def uncollected(batches: Iterator[Any]) -> Iterator[Any]:
+    """The batches, without cyclic garbage collection meanwhile (kernels hold many strings and make no cycles).
+
+    The worker is used again for other work, so collection is switched back on at the end.
+    """
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield from batches
+    finally:
+        if was:
+            gc.enable()
+
+
 def sampled_labels(labels: DataFrame, value: str, bound: int, seed: int, keep: Column) -> tuple[DataFrame, dict[int, int]]:
     """About `bound` labelled ids at most, drawn by hash from the non-null rows that `keep` allows; one row for an id.
 

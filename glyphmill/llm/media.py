@@ -7,7 +7,8 @@ apart. A code holds, from the high bits, the frame (time), the band's first and
 the distance in frames; codes come ordered by time.
 
 Null text counts as empty; the payload of an empty text is 64 zero bytes. Equal texts give equal
-values. Frames are taken in blocks, so a very long text needs no more memory than its own size a few times.
+values, so repeated rows give repeated results; extra columns are ignored. Where two bins of a frame are
+equally strong, the lower one is the peak. Rows go out in groups of about equal bytes. Frames are taken in blocks, so a very long text needs no more memory than its own size a few times.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphmill.llm.common import byte_slices
+
 RATE = 8000
 UNIT = 64
 FRAME = 256
@@ -87,10 +90,11 @@ def media_columns(docs: DataFrame, keep_media: bool = True) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
+            texts = batch.column(1).to_pylist()
+            for a, b in byte_slices([len(t or "") + 1 for t in texts]):
+                part = batch.slice(a, b - a)
                 rows = []
-                for text in part.column(1).to_pylist():
+                for text in texts[a:b]:
                     payload, n = payload_of(text)
                     media = store_wav(payload)
                     back = read_wav(media)

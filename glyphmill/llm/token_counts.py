@@ -12,7 +12,6 @@ of the input are ignored.
 
 from __future__ import annotations
 
-import gc
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import byte_slices
+from glyphmill.llm.common import byte_slices, uncollected
 
 #: Entries of a worker's table of piece lengths; the table starts anew beyond it.
 CACHE_ENTRIES = 400_000
@@ -118,9 +117,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _tokenizer(tokenizer_path)
-        gc.disable()  # millions of live strings and no cycles: collections only cost time here
         counter = PieceCounter(lambda new: [len(e) for e in tok.encode_batch_fast(new, add_special_tokens=False)])
-        for batch in batches:
+        for batch in uncollected(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             sizes = [len(t.encode()) for t in texts]
             counts: list[int] = []

@@ -14,7 +14,6 @@ both kinds each score is 0. Repeated rows give repeated results. Extra columns a
 
 from __future__ import annotations
 
-import gc
 import math
 import random
 import re
@@ -27,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import sampled_labels
+from glyphmill.llm.common import sampled_labels, uncollected
 
 #: Bound of the labelled sample (in expectation; half of each label).
 FIT_ROWS = 5_000
@@ -159,9 +158,8 @@ def toxicity(docs: DataFrame, model: ToxicModel) -> DataFrame:
     """doc_id, score and predicted of every row of docs (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # many live strings, no cycles
         reader = CellReader(model.ordinary, model.toxic) if model.cells is not None else None
-        for batch in batches:
+        for batch in uncollected(batches):
             scores = np.zeros(batch.num_rows)
             if reader is not None:
                 for i in range(batch.num_rows):
