@@ -91,9 +91,11 @@ def html_escape(text: Column) -> Column:
 
 
 def duration(seconds: Column) -> Column:
-    """hms, without leading zero units."""
-    h, m, s = F.floor(seconds / 3600), F.floor(seconds % 3600 / 60), F.floor(seconds % 60)
-    return F.when(h > 0, F.format_string("%dh%02dm%02ds", h, m, s)).when(m > 0, F.format_string("%dm%02ds", m, s)).otherwise(F.format_string("%ds", s))
+    """Seconds; beyond a minute minutes and seconds; beyond an hour hours and minutes. Rounded, halves to even; not padded."""
+    whole = lambda x: F.bround(x.cast("double")).cast("long")
+    m = F.floor(seconds / 60)
+    long = F.format_string("%dh%dm", F.floor(m / 60), m % 60)
+    return F.when(seconds < 60, F.format_string("%ds", whole(seconds))).when(m < 60, F.format_string("%dm%ds", m, whole(seconds - m * 60))).otherwise(long)
 
 
 def truth(text: Column) -> Column:

@@ -116,16 +116,8 @@ def near_dup_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.skipped_lookups(_hashed(spark, sf_dir))
 
 
-@query("J13", "WITH a AS (SELECT item_id, generate_subscripts(w, 1) - 1 AS place, unnest(w) AS word FROM (SELECT item_id, string_split(regexp_replace(text, '[^ -~]', 'x', 'g'), ' ')[1:5] AS w FROM benchmark)), b AS (SELECT item_id - 1 AS item_id, unnest(string_split(regexp_replace(text, '[^ -~]', 'x', 'g'), ' ')[1:8]) AS v FROM benchmark) SELECT item_id, place, word, min(levenshtein(word, v)) AS distance FROM a JOIN b USING (item_id) GROUP BY 1, 2, 3")
-def nearest_word(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.split(F.regexp_replace("text", "[^ -~]", "x"), " ")
-    rows = load(spark, sf_dir, "benchmark")
-    found = J.nearest_words(rows.select("item_id", F.slice(words, 1, 5).alias("words")), rows.select((F.col("item_id") - 1).alias("item_id"), F.slice(words, 1, 8).alias("words")), "item_id")
-    return found.where("distance IS NOT NULL").select("item_id", F.col("place").cast("long").alias("place"), "word", F.col("distance").cast("long").alias("distance"))
-
-
 @query("J13", "WITH a AS (SELECT item_id, generate_subscripts(w, 1) - 1 AS place, unnest(w) AS word FROM (SELECT item_id, string_split(regexp_replace(text, '[^ -~]', 'x', 'g'), ' ') AS w FROM benchmark)), b AS (SELECT item_id - 1 AS item_id, unnest(string_split(regexp_replace(text, '[^ -~]', 'x', 'g'), ' ')) AS v FROM benchmark) SELECT item_id, place, word, min(levenshtein(word, v)) AS distance FROM a JOIN b USING (item_id) GROUP BY 1, 2, 3")
-def nearest_word_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def nearest_word(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each word of a text against each word of the next one."""
     rows = load(spark, sf_dir, "benchmark").select("item_id", F.split(F.regexp_replace("text", "[^ -~]", "x"), " ").alias("words"))
     found = J.nearest_words(rows, rows.withColumn("item_id", F.col("item_id") - 1), "item_id")
@@ -180,9 +172,15 @@ def duplicate_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.duplicates(load(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest")), "digest", "doc_id")
 
 
-@query("P6 P17", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rn FROM documents WHERE doc_id % 4 = 1) WHERE rn <= 25")
+@query("P6 P17", "SELECT doc_id, CAST(doc_id % 4 AS INTEGER) AS shard, row_number() OVER (PARTITION BY doc_id % 4 ORDER BY doc_id) <= 25 AS taken FROM documents")
 def modulo_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "documents").where("doc_id % 4 = 1").orderBy("doc_id").limit(25).select("doc_id")
+    """The shard of every row, and whether the shard's limit takes it: the first rows of each shard are found apart."""
+    rows = load(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 4).cast("int").alias("shard"))
+    first = None
+    for shard in range(4):
+        part = rows.where(F.col("shard") == shard).orderBy("doc_id").limit(25).select("doc_id", F.lit(True).alias("there"))
+        first = part if first is None else first.union(part)
+    return rows.join(F.broadcast(first), "doc_id", "left").select("doc_id", "shard", F.col("there").isNotNull().alias("taken"))  # 100 rows
 
 
 @query("P7", "SELECT doc_id FROM documents WHERE doc_id >= 100 AND doc_id < 180")

@@ -48,17 +48,9 @@ def csv_without_first_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(F.broadcast(rows.agg(F.min("k").alias("first"))), F.col("k") > F.col("first")).select("k", "name")  # one row
 
 
-@query("S30 S29 O1 O8", "SELECT doc_id // 10 AS folder, doc_id % 10 AS place FROM documents ORDER BY doc_id LIMIT 50")
-def numeric_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = F.format_string("/run/%05d/samples/%d.png", F.expr("doc_id div 10"), F.col("doc_id") % 10)
-    rows = load(spark, sf_dir, "documents").select(path.alias("path")).where(F.col("path").rlike(r"/\d{5}/samples/\d+\.png$"))
-    rows = rows.select(F.regexp_extract("path", r"/(\d{5})/samples/", 1).cast("long").alias("folder"), F.regexp_extract("path", r"/(\d+)\.png$", 1).cast("long").alias("place"))
-    return rows.orderBy("folder", "place").limit(50)
-
-
 @query("S30 S29 O1 O8", "SELECT doc_id // 10 AS folder, doc_id % 10 AS place FROM documents ORDER BY doc_id")
-def numeric_stems_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """numeric_stems without its limit; folders may have more than five digits."""
+def numeric_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders may have more than five digits."""
     path = F.format_string("/run/%05d/samples/%d.png", F.expr("doc_id div 10"), F.col("doc_id") % 10)
     rows = load(spark, sf_dir, "documents").select(path.alias("path")).where(F.col("path").rlike(r"/\d{5,}/samples/\d+\.png$"))
     rows = rows.select(F.regexp_extract("path", r"/(\d{5,})/samples/", 1).cast("long").alias("folder"), F.regexp_extract("path", r"/(\d+)\.png$", 1).cast("long").alias("place"))

@@ -34,15 +34,9 @@ def image_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", S.first_name(F.lit(None).cast("string"), key, fallback=F.format_string("%s_%s_%s.png", "lang", "source", "doc_id")).alias("name"))
 
 
-@query("F5", "SELECT doc_id, array_to_string(list_filter(flatten(list_transform(regexp_extract_all('say ''' || substr(text, 1, 40) || ''' and ''Two  Words''', '''([^\\n]*?)''', 1), lambda q: string_split_regex(lower(q), '\\s+'))), lambda w: w <> ''), '|') AS words FROM documents WHERE position('''' IN text) = 0")
-def quoted_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prompt = F.concat(F.lit("say '"), F.substring("text", 1, 40), F.lit("' and 'Two  Words'"))
-    return load(spark, sf_dir, "documents").where(~F.contains("text", F.lit("'"))).select("doc_id", F.array_join(S.quoted_words(prompt), "|").alias("words"))
-
-
 @query("F5", "SELECT doc_id, array_to_string(list_filter(flatten(list_transform(regexp_extract_all('say ''' || replace(text, chr(10), '''' || chr(10) || '''') || ''' and ''Two  Words''', '''([^\\n]*?)''', 1), lambda q: string_split_regex(lower(q), '\\s+'))), lambda w: w <> ''), '|') AS words FROM documents")
-def quoted_words_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """quoted_words over the whole text of every row; each line is quoted, for quotes end with the line."""
+def quoted_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line of a text is quoted, for quotes end with the line."""
     prompt = F.concat(F.lit("say '"), F.replace("text", F.lit("\n"), F.lit("'\n'")), F.lit("' and 'Two  Words'"))
     return load(spark, sf_dir, "documents").select("doc_id", F.array_join(S.quoted_words(prompt), "|").alias("words"))
 
@@ -75,11 +69,12 @@ def category_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", l2.alias("l2"), F.substring_index(l2, " ", 1).alias("l1"), F.aggregate(S.ints(F.col("ids")), F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
-@query("F12", "SELECT a.item_id, round(1 - levenshtein(a.w, b.w) / (greatest(length(a.w), length(b.w)) + 1e-5), 9) AS similarity FROM (SELECT item_id, regexp_replace(string_split(text, ' ')[1], '[^ -~]', 'x', 'g') AS w FROM benchmark) a JOIN (SELECT item_id + 1 AS item_id, regexp_replace(string_split(text, ' ')[1], '[^ -~]', 'x', 'g') AS w FROM benchmark) b ON a.item_id = b.item_id")
+@query("F12", "WITH w AS (SELECT item_id, generate_subscripts(w, 1) - 1 AS place, unnest(w) AS w FROM (SELECT item_id, string_split(regexp_replace(text, '[^ -~]', 'x', 'g'), ' ') AS w FROM benchmark)) SELECT a.item_id, CAST(a.place AS BIGINT) AS place, round(1 - levenshtein(a.w, b.w) / (greatest(length(a.w), length(b.w)) + 1e-5), 9) AS similarity FROM w a JOIN w b ON a.item_id = b.item_id + 1 AND a.place = b.place")
 def word_edit_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = load(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace(F.get(F.split("text", " "), 0), "[^ -~]", "x").alias("w"))
-    other = rows.select((F.col("item_id") + 1).alias("item_id"), F.col("w").alias("v"))
-    return rows.join(other, "item_id").select("item_id", F.round(S.word_similarity(F.col("w"), F.col("v")), 9).alias("similarity"))
+    """Each word of a text against the word in the same place of the text before."""
+    rows = load(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split(F.regexp_replace("text", "[^ -~]", "x"), " ")).alias("place", "w"))
+    other = rows.select((F.col("item_id") + 1).alias("item_id"), "place", F.col("w").alias("v"))
+    return rows.join(other, ["item_id", "place"]).select("item_id", F.col("place").cast("long").alias("place"), F.round(S.word_similarity(F.col("w"), F.col("v")), 9).alias("similarity"))
 
 
 @query("P13 F14", "SELECT doc_id, list_contains(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\\p{L}\\p{N}_]+')[1:10], 'the') AS found FROM documents")
@@ -98,10 +93,11 @@ def html_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", S.html_escape(S.single_line(F.col("text"))).alias("html"))
 
 
-@query("F19 F20", "SELECT o_orderkey, CASE WHEN s >= 3600 THEN printf('%dh%02dm%02ds', s // 3600, s % 3600 // 60, s % 60) WHEN s >= 60 THEN printf('%dm%02ds', s // 60, s % 60) ELSE printf('%ds', s) END AS took, o_orderkey % 2 = 0 AS flag FROM (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS s FROM orders)")
+@query("F19 F20", "SELECT o_orderkey, CASE WHEN s < 60 THEN printf('%.0fs', s) WHEN s < 3600 THEN printf('%dm%.0fs', CAST(floor(s / 60) AS BIGINT), s - floor(s / 60) * 60) ELSE printf('%dh%dm', CAST(floor(s / 3600) AS BIGINT), CAST(floor(s / 60) AS BIGINT) % 60) END AS took, o_orderkey % 2 = 0 AS flag FROM (SELECT o_orderkey, CAST(o_orderkey % 5000 + 0.25 AS DOUBLE) AS s FROM orders)")
 def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     flag = F.when(F.col("o_orderkey") % 2 == 0, " Yes").otherwise("F")
-    return load(spark, sf_dir, "orders").select("o_orderkey", S.duration(F.floor("o_totalprice")).alias("took"), S.truth(flag).alias("flag"))
+    seconds = (F.col("o_orderkey") % 5000 + 0.25).cast("double")
+    return load(spark, sf_dir, "orders").select("o_orderkey", S.duration(seconds).alias("took"), S.truth(flag).alias("flag"))
 
 
 @query("F22 P4", "SELECT conv_id, turn, '<' || role || '>' || chr(10) || 'Text (' || len(string_split(text, chr(10))) || '): ' || '\"' || array_to_string(string_split(text, chr(10)), '\", \"') || '\"' AS prompt FROM conversations")

@@ -41,14 +41,14 @@ def rows_of(spark, name):
 
 def test_quoted_words_of_whole_texts(spark):
     prompts = {d.doc_id: "say '" + d.text.replace("\n", "'\n'") + "' and 'Two  Words'" for d in rows_of(spark, "documents")}
-    found = {r.doc_id: r.words for r in registry.QUERIES["quoted_words_whole"](spark, SF).collect()}
+    found = {r.doc_id: r.words for r in registry.QUERIES["quoted_words"](spark, SF).collect()}
     assert found == {i: "|".join(w for m in re.findall(r"'(.*?)'", p) for w in m.lower().split()) for i, p in prompts.items()}
     assert all(found[d.doc_id] == "|".join([*d.text.lower().split(), "two", "words"]) for d in rows_of(spark, "documents") if "'" not in d.text)
 
 
 def test_every_word_is_looked_up(spark):
     words = {r.item_id: r.text.split(" ") for r in rows_of(spark, "benchmark")}
-    nearest = registry.QUERIES["nearest_word_whole"](spark, SF).collect()
+    nearest = registry.QUERIES["nearest_word"](spark, SF).collect()
     assert sorted((r.item_id, r.place) for r in nearest) == sorted((k, i) for k, w in words.items() if k + 1 in words for i in range(len(w)))
     closest = registry.QUERIES["closest_words"](spark, SF).collect()
     assert sorted((r.item_id, r.place) for r in closest) == sorted((k, i) for k, w in words.items() for i in range(len(w)))
@@ -58,15 +58,15 @@ def test_every_word_is_looked_up(spark):
 
 
 def test_model_slot_takes_every_document(spark):
-    found = {r.doc_id: r.caption for r in registry.QUERIES["model_slot_whole"](spark, SF).collect()}
+    found = {r.doc_id: r.caption for r in registry.QUERIES["model_slot"](spark, SF).collect()}
     assert found == {d.doc_id: f"n{len(d.text)}" for d in rows_of(spark, "documents")}
 
 
 def test_sorted_results_are_not_cut(spark):
     docs = sorted(rows_of(spark, "documents"), key=lambda d: d.doc_id)
-    assert [tuple(r) for r in registry.QUERIES["numeric_stems_whole"](spark, SF).collect()] == [divmod(d.doc_id, 10) for d in docs]
+    assert [tuple(r) for r in registry.QUERIES["numeric_stems"](spark, SF).collect()] == [divmod(d.doc_id, 10) for d in docs]
     counts = Counter(f"{d.lang}/{d.source}" for d in docs).most_common()  # ties: first seen
-    assert [tuple(r) for r in registry.QUERIES["most_common_modes_whole"](spark, SF).collect()] == counts
+    assert [tuple(r) for r in registry.QUERIES["most_common_modes"](spark, SF).collect()] == counts
 
 
 def test_dense_bins_are_counted_and_taken_exactly(spark, tmp_path):
