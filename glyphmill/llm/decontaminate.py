@@ -1,15 +1,16 @@
 """Benchmark decontamination with built-in expressions only.
 
 Each benchmark item gives its windows of 13 consecutive words (an item of fewer, but not none, is one
-window). Hashes of the windows form a hash set inside the plan, which Spark broadcasts with the task;
-it goes in blocks of BLOCK_WINDOWS, so its size is bounded however large the benchmark is. A document's
-window hashes are combined from hashes of 1, 2, 4 and 8 words by position, one array operation each,
-so a scan neither shuffles nor explodes the words. Positions that hit are verified by the words
-themselves against the window table; that table is broadcast up to BROADCAST_WINDOWS rows and joined by
-shuffle beyond. Documents travel through the one shuffle as (id, counts, hits), never as text.
+window). The distinct windows are a table of hash, words and items; while its bytes are within
+BROADCAST_BYTES it is broadcast as a hash set, and beyond that Spark joins it by shuffle, on the hash.
+A document's window hashes are combined from hashes of 1, 2, 4 and 8 words by position, one array
+operation each. The scan probes the hash set with each of them in one generated loop: what does not hit
+is never made a row. Positions that hit are verified by the words themselves. Documents travel through
+the one shuffle as (row, id, counts, hits), never as text.
 
 Null text has no words. An item without words has no windows. Repeated rows give repeated results.
-A null item id counts no item, but its windows hit. Extra columns are ignored.
+A null item id counts no item, but its windows hit. An empty benchmark contaminates nothing, an empty
+table gives an empty one. Texts of any length are scanned whole. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,11 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import fresh
+from glyphmill.llm.common import fresh, written
 
 WINDOW = 13
-BLOCK_WINDOWS = 50_000
-BROADCAST_WINDOWS = 500_000
+#: Bytes of the window table (words, ids and hashes) up to which it is broadcast.
+BROADCAST_BYTES = 128 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -67,47 +68,50 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     return rows.groupBy("gram", "k").agg(F.collect_set("item").alias("items"))
 
 
-def _hashes(windows: DataFrame) -> dict[int, list[int]]:
-    """Window hashes by length. They are as many as the benchmark has windows, whatever the corpus' size."""
-    rows = windows.select("k", F.split("gram", " ").alias("words"))
-    out = {}
-    for k in sorted(r["k"] for r in rows.select("k").distinct().collect()):
-        found = with_window_hashes(rows.where(F.col("k") == k), [k]).select(F.col(f"w{k}")[0].alias("h"))
-        out[k] = sorted({r["h"] for r in found.collect()})
-    return out
-
-
-def _hit(k: int):
-    return lambda i: F.struct(i.alias("at"), F.lit(k).alias("k"), F.array_join(F.slice("words", i + 1, F.lit(k)), " ").alias("gram"))
+def window_table(benchmark: DataFrame) -> tuple[DataFrame, list[int], bool]:
+    """h, k, gram, items of the distinct windows as a written table; the window lengths; whether the table may be broadcast."""
+    windows = written(benchmark_windows(benchmark).select("gram", "k", "items", F.split("gram", " ").alias("words")), "windows")
+    lengths = sorted(r["k"] for r in windows.select("k").distinct().collect())  # 13 at most
+    found = None
+    for k in lengths:
+        own = with_window_hashes(windows.where(F.col("k") == k), [k]).select(F.col(f"w{k}")[0].alias("h"), "k", "gram", "items")
+        found = own if found is None else found.union(own)
+    if found is None:
+        return windows.select(F.lit(0).cast("long").alias("h"), "k", "gram", "items"), [], True
+    bytes_of = F.octet_length("gram") + F.aggregate("items", F.lit(0), lambda a, x: a + F.octet_length(x) + 16) + 64
+    total = found.agg(F.sum(bytes_of.cast("long")).alias("n")).first()["n"]
+    return found, lengths, total <= BROADCAST_BYTES
 
 
 def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted) and spans (array of first word, words) of every row of docs."""
-    windows = benchmark_windows(benchmark).cache()
-    hashes = _hashes(windows)
+    table, lengths, fits = window_table(benchmark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text")).alias("words"))
     rows = rows.select("doc_id", F.monotonically_increasing_id().alias("row"), F.size("words").cast("long").alias("n_words"), "words")
-    kinds = []
-    if hashes:
-        rows = with_window_hashes(rows, list(hashes))
-        for k, values in hashes.items():
-            for b in range(0, len(values), BLOCK_WINDOWS):
-                name = f"hit{k}_{b}"
-                block = ", ".join(f"{v}L" if v > -(2**63) else "bigint('-9223372036854775808')" for v in values[b : b + BLOCK_WINDOWS])
-                rows = rows.withColumn(name, F.expr(f"array_compact(transform(w{k}, (h, i) -> CASE WHEN h IN ({block}) THEN i END))"))
-                kinds.append((k, name))
-            rows = rows.drop(f"w{k}")
-        at = [F.transform(F.col(name), _hit(k)) for k, name in kinds]
-        found = rows.select("doc_id", "row", "n_words", F.concat(*at).alias("hits"))
-    else:
-        found = rows.select("doc_id", "row", "n_words", F.expr("cast(array() as array<struct<at: int, k: int, gram: string>>)").alias("hits"))
-    found = found.select("doc_id", "row", "n_words", F.explode_outer("hits").alias("hit")).select("doc_id", "row", "n_words", "hit.*")
-    known = windows.select("gram", "items")
-    if sum(map(len, hashes.values())) <= BROADCAST_WINDOWS:
-        known = F.broadcast(known)
-    checked = found.join(known, "gram", "left")
-    by_doc = checked.groupBy("row", "doc_id", "n_words").agg(
-        F.array_sort(F.collect_list(F.when(F.col("items").isNotNull(), F.struct("at", "k")))).alias("spans"),
+    if not lengths:
+        none = F.expr("cast(array() as array<struct<at: int, k: int>>)")
+        return rows.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.expr("cast(array() as array<string>)").alias("items"), none.alias("spans"))
+    rows = with_window_hashes(rows, lengths)
+    # One array of all hashes, by length; a leading null stands for the document itself, hit or not.
+    probes = F.concat(F.array(F.lit(None).cast("long")), *[F.col(f"w{k}") for k in lengths])
+    probed = rows.select("doc_id", "row", "n_words", "words", F.posexplode(probes).alias("place", "h"))
+    many = lambda k: F.greatest(F.col("n_words") - (k - 1), F.lit(0)).cast("int")
+    before, first = F.lit(1), F.lit(0)
+    for k in lengths:
+        first = F.when(F.col("k") == k, before).otherwise(first)
+        before = before + many(k)
+    if fits:
+        found = probed.join(F.broadcast(table), "h", "left").where("k IS NOT NULL OR place = 0")
+    else:  # the documents' own rows keep out of the join: their null hash would go to one task
+        own = rows.select("doc_id", "row", "n_words", F.slice("words", 1, 0).alias("words"), F.lit(0).alias("place"))
+        hits = probed.where("h IS NOT NULL").join(table, "h").select("doc_id", "row", "n_words", "words", "place", "k", "gram", "items")
+        found = hits.unionByName(own, allowMissingColumns=True)
+    at = F.col("place") - first
+    same = (at >= 0) & (at < many(F.col("k"))) & (F.array_join(F.slice("words", at + 1, F.greatest("k", F.lit(0))), " ") == F.col("gram"))
+    hit = F.col("k").isNotNull() & same
+    found = found.select("doc_id", "row", "n_words", F.when(hit, F.struct(at.cast("int").alias("at"), F.col("k").cast("int").alias("k"))).alias("span"), F.when(hit, F.col("items")).alias("items"))
+    by_doc = found.groupBy("row", "doc_id", "n_words").agg(
+        F.array_sort(F.collect_list("span")).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
     # Words under at least one span: spans come by first word, each adds what is beyond the last end.

@@ -62,6 +62,16 @@ def test_contamination(spark):
         assert (r.n_words, r.n_hit, list(r["items"]), r.contaminated) == (n, hit, ids, hit > 0 and 20 * hit >= n)
 
 
+def test_contamination_by_shuffle(spark, odd, monkeypatch):
+    """A window table beyond the bound is joined by shuffle, with the same result; items of several lengths."""
+    items = [(1, "one two three"), (2, "two"), (3, "long " * 13), (None, "three")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = lambda: sorted((str(r.doc_id), r.n_words, r.n_hit, list(r["items"]), [tuple(x) for x in r.spans]) for r in decontaminate.scan(odd, bench).collect())
+    want = rows()
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
+    assert rows() == want and len(want) == 9
+
+
 def test_contamination_removes_spans(spark):
     item = " ".join(f"b{i}" for i in range(13))
     docs = docs_of(spark, [f"Keep this, {item.upper()}. And this!", "clean text"])
