@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: Bytes of text that one call of a batch kernel sees at most (a longer single text is one call).
 KERNEL_BYTES = 4 << 20
 
+#: Places that a running sum takes at a time, and code points of a block of text.
+BLOCK = 64
+
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
 
@@ -59,6 +62,35 @@ def hash_share(seed: int, *cols: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(1_000_003)) / F.lit(1_000_003.0)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once."""
+    return F.element_at(F.transform(F.array(value), lambda v: use(v)), 1)
+
+
+def running(values: Column, largest: bool = False) -> Column:
+    """Sums (or maxima, from 0) of the values before each place and, last, of all; by blocks."""
+    join = (lambda a, v: F.greatest(a, v)) if largest else (lambda a, v: a + v)
+
+    def total(part: Column, start: Column) -> Column:
+        return F.aggregate(part, start, join)
+
+    def places(v: Column) -> Column:
+        def at(h: Column) -> Column:
+            def one(i: Column) -> Column:
+                block = F.floor(i / BLOCK).cast("int")
+                return total(F.slice(v, block * BLOCK + 1, i % BLOCK), F.get(h, block))
+
+            return F.transform(F.sequence(F.lit(0), F.size(v)), one)
+
+        return let(heads(v), at)
+
+    def heads(v: Column) -> Column:
+        blocks = F.floor(F.size(v) / BLOCK).cast("int")
+        return F.aggregate(F.sequence(F.lit(0), blocks), F.array(F.lit(0)), lambda acc, b: F.concat(acc, F.array(total(F.slice(v, b * BLOCK + 1, F.lit(BLOCK)), F.element_at(acc, -1)))))
+
+    return let(values, places)
+
+
 def byte_slices(sizes: Iterable[int], limit: int = KERNEL_BYTES) -> Iterator[tuple[int, int]]:
     """Consecutive row ranges of about equal bytes: no range has over limit bytes unless it is one row."""
     sizes = list(sizes)

@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import fresh
+from glyphmill.llm.common import BLOCK, fresh, let, running
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret")
@@ -75,36 +75,6 @@ CONTEXT = 24
 #: Pseudo-spans of each kind that all labelers call true, and as many that all call false.
 PRIOR = 4.0
 VOTES, FEATURES = ("v1", "v2", "v3"), ("long", "varied", "mixed", "assigned")
-_BLOCK = 64
-
-
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with value computed once."""
-    return F.element_at(F.transform(F.array(value), lambda v: use(v)), 1)
-
-
-def running(values: Column, largest: bool = False) -> Column:
-    """Sums (or maxima, from 0) of the values before each place and, last, of all; by blocks."""
-    join = (lambda a, v: F.greatest(a, v)) if largest else (lambda a, v: a + v)
-
-    def total(part: Column, start: Column) -> Column:
-        return F.aggregate(part, start, join)
-
-    def places(v: Column) -> Column:
-        def at(h: Column) -> Column:
-            def one(i: Column) -> Column:
-                block = F.floor(i / _BLOCK).cast("int")
-                return total(F.slice(v, block * _BLOCK + 1, i % _BLOCK), F.get(h, block))
-
-            return F.transform(F.sequence(F.lit(0), F.size(v)), one)
-
-        return let(heads(v), at)
-
-    def heads(v: Column) -> Column:
-        blocks = F.floor(F.size(v) / _BLOCK).cast("int")
-        return F.aggregate(F.sequence(F.lit(0), blocks), F.array(F.lit(0)), lambda acc, b: F.concat(acc, F.array(total(F.slice(v, b * _BLOCK + 1, F.lit(_BLOCK)), F.element_at(acc, -1)))))
-
-    return let(values, places)
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -343,13 +313,13 @@ def redacted(docs: DataFrame, model: SpanModel) -> DataFrame:
     pair = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
     rows = rows.withColumn(name, F.array_sort(F.transform(name, pair)))
     # Blocks of the text, so that a piece is cut from the blocks that it lies in.
-    pieces = F.regexp_extract_all(F.col("text").cast("string"), F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0))
+    pieces = F.regexp_extract_all(F.col("text").cast("string"), F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
     rows = rows.withColumn(blocks, F.when(F.size(name) > 0, pieces))
 
     def cut(start: Column, size: Column) -> Column:
-        first = F.floor(start / _BLOCK).cast("int")
-        many = F.floor((start % _BLOCK + size) / _BLOCK).cast("int") + 1
-        return F.when(size > 0, F.substring(F.array_join(F.slice(blocks, first + 1, many), ""), start % _BLOCK + 1, size)).otherwise(F.lit(""))
+        first = F.floor(start / BLOCK).cast("int")
+        many = F.floor((start % BLOCK + size) / BLOCK).cast("int") + 1
+        return F.when(size > 0, F.substring(F.array_join(F.slice(blocks, first + 1, many), ""), start % BLOCK + 1, size)).otherwise(F.lit(""))
 
     def clean(done: Column) -> Column:
         # done[i]: how far the spans before span i reach. A span that begins before that adds no name of its own.
@@ -358,7 +328,7 @@ def redacted(docs: DataFrame, model: SpanModel) -> DataFrame:
             return F.concat(cut(F.get(done, i), s["start"] - F.get(done, i)), F.when(s["start"] >= F.get(done, i), label).otherwise(F.lit("")))
 
         last = F.element_at(done, -1)
-        return F.concat(F.array_join(F.transform(name, piece), ""), cut(last, F.size(blocks) * _BLOCK - last))
+        return F.concat(F.array_join(F.transform(name, piece), ""), cut(last, F.size(blocks) * BLOCK - last))
 
     text = F.when(F.size(name) > 0, let(running(F.transform(name, lambda s: s["end"]), largest=True), clean)).otherwise(F.col("text"))
     rows = rows.withColumn("text", text).drop(name, blocks)

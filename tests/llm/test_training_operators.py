@@ -311,6 +311,48 @@ def test_media(spark, odd):
     assert media.with_feature(media.media_columns(odd, keep_media=False)).count() == 9
 
 
+def plain_paragraphs(text):
+    """(start, paragraph) of a text: line ends that break no sentence, and blank lines, end a paragraph."""
+    out, start, i = [], 0, 0
+    while (j := text.find("\n", i)) >= 0:
+        end = j + 1
+        while end < len(text) and text[end].isspace():
+            end += 1
+        blank = "\n" in text[j + 1 : end]
+        if blank or j == 0 or not (text[j - 1].isalpha() or text[j - 1].isnumeric() or text[j - 1] in ",-"):
+            out.append((start, text[start:j]))
+            start = i = end
+        else:
+            i = j + 1
+    return [*out, (start, text[start:])]
+
+
+def test_license_paragraphs_are_placed(spark):
+    texts = ["a\nb", "a.\nb", "a\n\n  b, \nc-\nd", "\n\nx", "x\n", "", "é.\n\n\nñ\n \n!", "a,\nb;\n" * 300]
+    rows = docs_of(spark, texts).select("doc_id", licenses.paragraphs(F.col("text")).alias("p")).collect()
+    assert {r.doc_id: [(p.start, p.text) for p in r.p] for r in rows} == {i: plain_paragraphs(t) for i, t in enumerate(texts)}
+
+
+def test_wrapped_license_is_one_paragraph(spark, documents):
+    model = licenses.fit(documents)
+    notice = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated\ndocumentation files."
+    text = f"Some words here.\n{notice}\nMore words.\n\nThis program is free software: you can\nredistribute it and/or modify it under the terms of the GNU General Public License\nas published by the Free Software Foundation."
+    got = licenses.license_paragraphs(docs_of(spark, [text]), model).orderBy("start").collect()
+    assert [r.family for r in got] == ["mit", "gpl"] and text[got[0].start : got[0].end] == notice and all(r.confirmed for r in got)
+
+
+def test_license_thresholds_follow_held_out_paragraphs(spark):
+    """Paragraphs that score without matching a template raise their family's threshold."""
+    fine = [(i, "released under the mit license") for i in range(100, 160)]
+    loose = [(i, "the mit license license mit") for i in range(1000, 1400)]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    base = licenses.fit_families(["no word of it"] * 5)
+    k = base.families.index("mit")
+    low = licenses.calibrated(frame(fine), licenses.fit_families(["no word of it"] * 5)).thresholds[k]
+    high = licenses.calibrated(frame(fine + loose), licenses.fit_families(["no word of it"] * 5)).thresholds[k]
+    assert 0.5 <= low <= high <= 0.9 and high > 0.5
+
+
 def test_licenses(spark, documents, odd):
     model = licenses.fit(documents)
     texts = [f"Intro.\n{t.capitalize()}.\nMore." for ts in licenses.TEMPLATES.values() for t in ts] + ["my license plate", None, "", "no word of it"]
@@ -318,7 +360,7 @@ def test_licenses(spark, documents, odd):
     got = {r.doc_id: r for r in licenses.license_paragraphs(docs_of(spark, texts), model).collect()}
     found = [got[i].family if i in got else None for i in range(len(want))]
     assert np.mean([a == b for a, b in zip(found, want, strict=True) if a is not None]) > 0.95
-    assert all(texts[i][r.start : r.end] == texts[i].split("\n")[r.paragraph] for i, r in got.items())
+    assert all(texts[i][r.start : r.end] == plain_paragraphs(texts[i])[r.paragraph][1] for i, r in got.items())
     assert got[len(want)].family == "unknown" and set(range(len(want) + 1, len(texts))).isdisjoint(got)
     assert licenses.license_paragraphs(odd, licenses.fit(odd)).count() == 0
 
@@ -334,15 +376,16 @@ def test_licenses_without_anchor_words(spark, documents):
 def test_license_gate_loses_no_paragraph(spark, documents):
     """Against all paragraphs scored one by one."""
     model = licenses.fit(documents)
-    limit = np.log(model.threshold / (1 - model.threshold))
+    limit = [np.log(t / (1 - t)) for t in model.thresholds]
     parts = sorted(model.weights)
     rng = random.Random(3)
     texts = [" ".join(rng.choice(parts) for _ in range(rng.randrange(1, 6))) for _ in range(400)] + [r.text for r in documents.select("text").collect()]
     want = set()
     for i, text in enumerate(texts):
-        for j, line in enumerate((text or "").split("\n")):
+        for j, (_, line) in enumerate(plain_paragraphs(text or "")):
             held = [model.weights[g] for g in licenses.grams(licenses.tokens(line)) if g in model.weights]
-            if max(sum(w[k] for w in held) + b for k, b in enumerate(model.bias)) >= limit:
+            margin, k = max((sum(w[k] for w in held) + b, k) for k, b in enumerate(model.bias))
+            if margin >= limit[k]:
                 want.add((i, j))
     got = {(r.doc_id, r.paragraph) for r in licenses.license_paragraphs(docs_of(spark, texts), model).collect() if r.family != "unknown"}
     assert got == want and len(want) > 20
