@@ -1,27 +1,33 @@
 """N-gram Jaccard join with set-relation skipping: an exact similarity self-join of sets of word shingles.
 
-A document's set is its distinct 5-word shingles as 64-bit hashes (two different shingles of a corpus of n
-share a hash with probability n^2 / 2^65); documents of equal sets are one node. Shingles are ordered by
-frequency class (estimated on a sample of documents, which steers cost only: any order gives the same
-links), then by hash. Two sets that reach the threshold share a shingle in their prefixes, so only
+A document's set is its distinct 5-word shingles as 64-bit hashes; documents of equal sets are one node. Sets are
+told apart by two 64-bit signatures: nodes go by the first, and sets that share a first signature but not the
+second (n^2 / 2^65 are expected among n) are found and go by the second, so sets merge only where 128 bits agree.
+Shingles are ordered by frequency class (estimated on a sample of documents, which steers cost only: any order
+gives the same links), then by hash. Two sets that reach the threshold share a shingle in their prefixes, so only
 prefixes are indexed.
 
-Index lists are skipped in blocks: a list is cut by set size into blocks that can link at all, and pairs
-whose positions leave too small an overlap are dropped. In a first round each block's first set (its head)
-is paired with the others, as are sets of neighbouring sizes, and each set compared with a few of its
-pairs; links give components. In a second
-round a set's answers are derived from its head's: pairs inside a component need no look; of the others
-those whose similarities to a common head differ by more than the threshold allows can't link (Jaccard
-distance is a metric); the rest are compared. Before a comparison of texts the parities of both sets by
-hash class bound their difference from below; only pairs that the bound allows are compared. No link
-between components is lost, so components are exact.
+Index-level skipping: a list is cut by set size into blocks that can link at all. In a first round each block's
+middle set (its head) is paired with the others, as are sets of neighbouring sizes, where positions leave enough
+overlap, and each set is compared with a few of its pairs; links give components. In a second round each list is
+ordered (its most common component, then the others, by size and position) and cut into blocks; a pair of blocks of one component, or whose sizes or
+positions leave too small an overlap, is skipped as a whole before any of its pairs is formed.
 
-Lists of frequent shingles are salted by set, in number with their estimated length; their heads are
-compared across salts, and in the second round only the rows outside a list's most common component are
-copied to its salts. Nothing is dropped or capped.
+Answer-level skipping: in the second round a set's answers follow from its head's where they can: of pairs with a
+common head, those whose similarities to it differ by more than the threshold allows can't link (Jaccard distance
+is a metric). Before a comparison of texts the parities of both sets by hash class bound their difference from
+below. What is compared is derived incrementally: the overlap of a hub with a set is its overlap with a highly
+similar set, changed by the shingles in which the two differ, which are computed once for all hubs. No link between
+components is lost, so components are exact.
+
+The number of parts follows the bytes of text. Lists of frequent shingles are salted by set, in number with their
+estimated length; their heads are compared across salts, and in the second round only the rows outside a list's
+most common component are copied to its salts. Lists of one component are dealt out beyond FAMILY_ROWS. Nothing is
+dropped or capped.
 
 Null and empty texts have empty sets and link with nothing, as do rows with a null id, whose component is
 null. Repeated rows give repeated results. Rows of one id with different texts are separate sets of one id.
+Sets of similarity exactly 0.8 link. Very long texts are single items of a batch. Empty tables give empty ones.
 Extra columns are ignored.
 """
 
@@ -33,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm.common import byte_slices, written
@@ -48,7 +54,11 @@ HOT_BOUND = 1_000_000
 #: Estimated rows of one salt of a list.
 LIST_ROWS = 20_000
 #: Entries of lists of one common component that go to one bucket of the second round.
-FAMILY_ROWS = 50_000
+FAMILY_ROWS = 4_000
+#: Rows of a block of the second round, and pairs of blocks whose pairs are formed at a time.
+SKIP_ROWS, SKIP_PAIRS = 32, 512
+#: Bytes of text for each task of the first round; each task has PARTS_EACH parts.
+TASK_BYTES, PARTS_EACH = 16 << 20, 4
 #: Sets next to each other by size that are paired in a list, and pairs of a set that are compared in the first round.
 CHAIN, WAVE = 3, 4
 #: Lists up to this length are compared pairwise at once.
@@ -116,13 +126,24 @@ def shingle_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return doc[new], value[new]
 
 
-def signatures(doc: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Size and signature of each of n documents' sets."""
+def signatures(doc: np.ndarray, value: np.ndarray, n: int, renamed: np.ndarray | None = None, mask: int = -1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Size and both signatures of each of n documents' sets; sets whose first is among `renamed` (sorted) go by the second.
+
+    mask cuts the first signature, for tests.
+    """
     sizes = np.bincount(doc, minlength=n)
     ends = np.cumsum(sizes)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(value + _PLACE[0]), dtype=np.uint64)])
-    sums = total[ends] - total[ends - sizes]
-    return sizes, mixed(sums + sizes.astype(np.uint64) * _PLACE[1]).view(np.int64)
+
+    def summed(x: np.ndarray) -> np.ndarray:
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)])
+        return total[ends] - total[ends - sizes]
+
+    first = mixed(summed(mixed(value + _PLACE[0])) + sizes.astype(np.uint64) * _PLACE[1]).view(np.int64) & np.int64(mask)
+    second = mixed(summed(mixed(value ^ _PLACE[2])) + sizes.astype(np.uint64) * _PLACE[3]).view(np.int64)
+    if renamed is not None and len(renamed):
+        at = np.minimum(np.searchsorted(renamed, first), len(renamed) - 1)
+        first = np.where(renamed[at] == first, second, first)
+    return sizes, first, second
 
 
 def parities(doc: np.ndarray, value: np.ndarray, sizes: np.ndarray) -> list[bytes]:
@@ -163,7 +184,7 @@ def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         for batch in batches:
             for _, b, texts in _texts(batch, 0):
                 doc, value = shingle_sets(texts)
-                _, sig = signatures(doc, value, len(texts))
+                _, sig, _ = signatures(doc, value, len(texts))
                 once = np.zeros(len(texts), bool)
                 once[np.unique(sig, return_index=True)[1]] = True
                 got, n = np.unique(value[once[doc]], return_counts=True)
@@ -198,11 +219,11 @@ def prefixes(doc: np.ndarray, value: np.ndarray, hot: np.ndarray, hot_n: np.ndar
 
 
 _ENTRY = np.dtype([("t", "<u8"), ("sig", "<i8"), ("n", "<u4"), ("pos", "<u4"), ("salt", "<u2"), ("salts", "<u2")])
-_DOC = np.dtype([("doc_id", "<i8"), ("sig", "<i8"), ("n", "<i8")])
+_DOC = np.dtype([("doc_id", "<i8"), ("sig", "<i8"), ("n", "<i8"), ("sig2", "<i8")])
 _OUT = "kind int, a long, b long, n int, pos int, salt int, salts int, head long, bits binary"
 
 
-def _index(docs: DataFrame, parts: int, hot: np.ndarray, hot_n: np.ndarray) -> DataFrame:
+def _index(docs: DataFrame, parts: int, hot: np.ndarray, hot_n: np.ndarray, renamed: np.ndarray, mask: int) -> DataFrame:
     """part, kind, blob: the documents' sizes and signatures (kind 0) and the prefix entries (kind 1), dealt by shingle."""
     shared = docs.sparkSession.sparkContext.broadcast((hot, hot_n))
 
@@ -212,11 +233,11 @@ def _index(docs: DataFrame, parts: int, hot: np.ndarray, hot_n: np.ndarray) -> D
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for a, b, texts in _texts(batch, 1):
                 doc, value = shingle_sets(texts)
-                sizes, sig = signatures(doc, value, len(texts))
+                sizes, sig, sig2 = signatures(doc, value, len(texts), renamed, mask)
                 rows = np.zeros(len(texts), _DOC)
-                rows["doc_id"], rows["sig"], rows["n"] = ids[a:b], sig, sizes
+                rows["doc_id"], rows["sig"], rows["n"], rows["sig2"] = ids[a:b], sig, sizes, sig2
                 once = np.zeros(len(texts), bool)  # equal sets of a batch are indexed once
-                once[np.unique(sig, return_index=True)[1]] = True
+                once[np.unique(sig2, return_index=True)[1]] = True
                 d, t, pos, salts = prefixes(doc, value, hot, hot_n)
                 mine = once[d]
                 d, t, pos, salts = d[mine], t[mine], pos[mine], np.minimum(salts[mine], 65535)
@@ -260,11 +281,11 @@ def _lists(e: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def _first_round(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one part: documents (kind 0: doc_id, sig, n), pairs (1: head, other), entries of longer lists (2: t, sig)."""
+    """Of one part: documents (kind 0: doc_id, sig, n, sig2 as head), pairs (1: head, other), entries of longer lists (2: t, sig)."""
     out = []
     own = list(pdf.loc[pdf["kind"] == 0, "blob"])
     docs = np.frombuffer(b"".join(b[: _DOC.itemsize] for b in own), _DOC)
-    out.append(pd.DataFrame({"kind": 0, "a": docs["doc_id"], "b": docs["sig"], "n": docs["n"].astype(np.int32), "pos": 0, "salt": 0, "salts": 1, "head": 0, "bits": [b[_DOC.itemsize :] for b in own]}))
+    out.append(pd.DataFrame({"kind": 0, "a": docs["doc_id"], "b": docs["sig"], "n": docs["n"].astype(np.int32), "pos": 0, "salt": 0, "salts": 1, "head": docs["sig2"], "bits": [b[_DOC.itemsize :] for b in own]}))
     blobs = [np.frombuffer(b, _ENTRY) for b in pdf.loc[pdf["kind"] == 1, "blob"]]
     pairs, entries = [], []
     if blobs:
@@ -304,6 +325,36 @@ def room(nx: np.ndarray, ny: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.nda
     return nx + ny - 2 * (-(-(nx + ny) * UP // (UP + DOWN))) - apart
 
 
+def open_blocks(n: np.ndarray, pos: np.ndarray, comp: np.ndarray, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places of a list, each once, of those pairs of blocks that can hold a link between components.
+
+    The list is put in order: its most common component, then the others, each by size and position. A pair of blocks
+    is skipped as a whole if both are of one and the same component, if neither has a row that belongs here, or if the
+    sizes, or what the positions leave, are too far apart for any two of their sets.
+    """
+    names, many = np.unique(comp, return_counts=True)
+    order = np.lexsort((pos, n, comp != names[many.argmax()]))
+    n, pos, comp, own = n[order], pos[order], comp[order], own[order]
+    start = np.arange(0, len(n), SKIP_ROWS)
+    low, high = np.minimum.reduceat(n, start), np.maximum.reduceat(n, start)
+    left = np.maximum.reduceat(n - pos, start)
+    first, last = np.minimum.reduceat(comp, start), np.maximum.reduceat(comp, start)
+    here = np.maximum.reduceat(own.astype(np.int8), start) > 0
+    place = np.arange(SKIP_ROWS)
+    for p in range(len(start)):
+        q = np.arange(p, len(start))
+        ok = ~((first[p] == last[q]) & (last[p] == first[q])) & (here[p] | here[q])
+        ok &= (DOWN * high[p] >= UP * low[q]) & (DOWN * high[q] >= UP * low[p])
+        ok &= np.minimum(left[p], left[q]) >= -(-(low[p] + low[q]) * UP // (UP + DOWN))
+        q = q[ok]
+        for at in range(0, len(q), SKIP_PAIRS):
+            j = (start[q[at : at + SKIP_PAIRS], None] + place).ravel()
+            j = j[j < len(n)]
+            i = np.arange(start[p], min(start[p] + SKIP_ROWS, len(n)))
+            i, j = np.repeat(i, len(j)), np.tile(j, len(i))
+            yield order[i[i < j]], order[j[i < j]]
+
+
 def _second_round(entries: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
     """Of lists (a, to): pairs of different components that sizes, positions, common heads and parities don't rule out."""
     out = [np.zeros((0, 2), np.int64)]
@@ -315,16 +366,15 @@ def _second_round(entries: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
         entries = entries.sort_values(["a", "to", "n", "b"], ignore_index=True)
         n, pos = entries["n"].to_numpy().astype(np.int64), entries["pos"].to_numpy().astype(np.int64)
         sig, comp, own, head = (entries[c].to_numpy() for c in ("b", "comp", "own", "head"))
+        own = own.astype(bool)
         alike = entries["alike"].to_numpy(float)
         at = np.searchsorted(known, sig)
         lists = entries["a"].to_numpy(), entries["to"].to_numpy()
         cuts = np.flatnonzero((lists[0][1:] != lists[0][:-1]) | (lists[1][1:] != lists[1][:-1])) + 1
         for start, end in zip([0, *cuts], [*cuts, len(entries)], strict=True):
-            block = max(1, 20_000 // (end - start))
-            for first in range(start, end, block):
-                # Rows first.. against all later rows of the list, which are at least as large.
-                i, j = (x.ravel() for x in np.meshgrid(np.arange(first, min(first + block, end)), np.arange(first + 1, end), indexing="ij"))
-                keep = (j > i) & (comp[i] != comp[j]) & (own[i] | own[j])
+            for i, j in open_blocks(n[start:end], pos[start:end], comp[start:end], own[start:end]):
+                i, j = i + start, j + start
+                keep = (comp[i] != comp[j]) & (own[i] | own[j])
                 i, j = i[keep], j[keep]
                 keep = can_link(n[i], pos[i], n[j], pos[j])
                 with np.errstate(invalid="ignore"):
@@ -336,8 +386,8 @@ def _second_round(entries: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
                     x, y = i[here], j[here]
                     ok = room(n[x], n[y], folded[w][at[x]], folded[w][at[y]]) >= 0
                     out.append(np.column_stack([sig[x[ok]], sig[y[ok]]]))
-            if len(out) > 200:
-                out = [np.unique(np.sort(np.concatenate(out), axis=1), axis=0)]
+                if len(out) > 200:
+                    out = [np.unique(np.sort(np.concatenate(out), axis=1), axis=0)]
     both = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
     return pd.DataFrame({"a": both[:, 1], "b": both[:, 0]})
 
@@ -367,7 +417,52 @@ def bucket_count(pairs: int, bytes_each: int = 4000) -> int:
     return max(8, math.ceil(2 * pairs * bytes_each / BUCKET_BYTES))
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, parts: int) -> DataFrame:
+def overlap(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of sorted sets."""
+    if len(x) > len(y):
+        x, y = y, x
+    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
+
+
+class Answers:
+    """Overlaps of sets, derived from those with a highly similar set.
+
+    Sets that share their least hash are of one family, whose first set is its leader. For a set with several hubs
+    the shingles in which it differs from the leader are computed once; its overlap with each hub is the leader's,
+    plus the hub's share of what the set has more, less the hub's share of what it has less.
+    """
+
+    def __init__(self, known: dict[int, np.ndarray], hubs: dict[int, int]):
+        self.known, self.hubs = known, hubs  # sets by name; how many hubs each set is compared with
+        self.leaders: dict[int, int] = {}
+        self.differences: dict[int, tuple[np.ndarray, np.ndarray] | None] = {}
+        self.told: dict[tuple[int, int], int] = {}
+        self.derived = 0
+
+    def difference(self, b: int, leader: int) -> tuple[np.ndarray, np.ndarray] | None:
+        if b not in self.differences:
+            x, y = self.known[b], self.known[leader]
+            more, less = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
+            self.differences[b] = (more, less) if 4 * (len(more) + len(less)) <= len(x) else None
+        return self.differences[b]
+
+    def of(self, a: int, b: int) -> int:
+        """The size of the intersection of the sets a (a hub) and b."""
+        y = self.known[b]
+        leader = self.leaders.setdefault(int(y[0]), b)
+        if leader != b and self.hubs.get(b, 0) > 1 and (change := self.difference(b, leader)) is not None:
+            more, less = change
+            self.derived += 1
+            return self._plain(a, leader) + overlap(more, self.known[a]) - overlap(less, self.known[a])
+        return self._plain(a, b)
+
+    def _plain(self, a: int, b: int) -> int:
+        if (a, b) not in self.told:
+            self.told[a, b] = overlap(self.known[a], self.known[b])
+        return self.told[a, b]
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, parts: int, renamed: np.ndarray, mask: int) -> DataFrame:
     """a, b, alike, linked of each pair of signatures; nodes (sig, doc_id, n) tells a document of each set."""
     degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_PAIRS).cast("long").alias("salts"))
     parts = max(parts, bucket_count(pairs.count()))
@@ -384,17 +479,14 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, parts: int) ->
         known = {}
         for a, b in byte_slices([len(t) for t in sets["text"]], SLICE_BYTES):
             doc, value = shingle_sets(list(sets["text"][a:b]))
-            sizes, got = signatures(doc, value, b - a)
+            sizes, got, _ = signatures(doc, value, b - a, renamed, mask)
             ends = np.cumsum(sizes)
             known.update({int(got[i]): value[ends[i] - sizes[i] : ends[i]] for i in range(b - a)})
+        answers = Answers(known, pairs["b"].value_counts().to_dict())
         alike, linked = [], []
         for a, b in zip(pairs["a"], pairs["b"], strict=True):
-            x, y = known[a], known[b]
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-            inter = int((y[at] == x).sum())
-            union = len(x) + len(y) - inter
+            inter = answers.of(a, b)
+            union = len(known[a]) + len(known[b]) - inter
             alike.append(inter / union)
             linked.append(DOWN * inter >= UP * union)
         return pd.DataFrame({"a": pairs["a"], "b": pairs["b"], "alike": alike, "linked": linked})
@@ -420,17 +512,26 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of docs (doc_id, text)."""
-    spark: SparkSession = docs.sparkSession
+def jaccard_components(docs: DataFrame, mask: int = -1) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of docs (doc_id, text); mask cuts first signatures, for tests."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = docs.where(F.col("doc_id").isNotNull())
-    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = max(8, math.ceil((known.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0) / TASK_BYTES))
+    parts = PARTS_EACH * tasks
     hot, hot_n = frequent(known)
-    found = written(_index(known, parts, hot, hot_n).groupBy("part").applyInPandas(_first_round, _OUT), "first")
-    rows = found.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("sig"), "n")
-    sets = found.where("kind = 0 AND n > 0").select(F.col("a").alias("doc_id"), F.col("b").alias("sig"), "n", "bits")
-    nodes = written(sets.groupBy("sig", "n").agg(F.min("doc_id").alias("doc_id"), F.max("bits").alias("bits")), "nodes")
+    renamed = np.zeros(0, np.int64)
+    while True:
+        index = _index(known, parts, hot, hot_n, renamed, mask).repartition(tasks, "part")
+        found = written(index.groupBy("part").applyInPandas(_first_round, _OUT), "first")
+        rows = found.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("sig"), "n")
+        sets = found.where("kind = 0 AND n > 0").select(F.col("a").alias("doc_id"), F.col("b").alias("sig"), "n", F.col("head").alias("sig2"), "bits")
+        nodes = sets.groupBy("sig").agg(F.min("n").alias("n"), F.min("doc_id").alias("doc_id"), F.max("bits").alias("bits"), ((F.min("sig2") != F.max("sig2")) | (F.min("n") != F.max("n"))).alias("clash"))
+        nodes = written(nodes, "nodes")
+        # Different sets of one first signature: n^2 / 2^65 of n are expected. They go by their second one.
+        clash = nodes.where("clash").select("sig").toPandas()["sig"].to_numpy(np.int64)
+        if not len(clash):
+            break
+        renamed = np.unique(np.concatenate([renamed, clash]))
     entries = found.where("kind = 2").drop("bits")
     # Heads of the salts of one list are compared with the least of them.
     heads = entries.where("salts > 1").select("a", "head").distinct()
@@ -438,7 +539,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     pairs = written(_open_pairs(found.where("kind = 1").select("a", "b").union(across).distinct(), nodes), "pairs")
     # Of each set's pairs the likeliest ones first: as many as WAVE.
     best = pairs.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("room", "a")), asc=False), 1, WAVE).alias("best"))
-    first = verified(best.select(F.explode("best").alias("p"), "b").select("p.a", "b"), nodes, known, parts)
+    first = verified(best.select(F.explode("best").alias("p"), "b").select("p.a", "b"), nodes, known, parts, renamed, mask)
     comps = components(first.where("linked").select("a", "b"))
     # Lists with more than one component; rows outside the most common one go to every salt.
     placed = entries.join(comps.withColumnRenamed("node", "b"), "b", "left").withColumn("comp", F.coalesce("comp", "b"))
@@ -462,7 +563,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     done = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     more = written(more.join(done, ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
-        second = verified(more, nodes, known, parts).where("linked").select("a", "b")
+        second = verified(more, nodes, known, parts, renamed, mask).where("linked").select("a", "b")
         if not second.isEmpty():
             comps = components(first.where("linked").select("a", "b").union(second))
     grouped = rows.join(comps.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.when(F.col("n") > 0, F.coalesce("comp", "sig")))
@@ -476,7 +577,7 @@ def _sizes_of_unknown(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, texts in _texts(batch, 0):
-                sizes, _ = signatures(*shingle_sets(texts), len(texts))
+                sizes, _, _ = signatures(*shingle_sets(texts), len(texts))
                 none = pa.nulls(len(texts), pa.int64())
                 yield pa.RecordBatch.from_arrays([none, pa.array(sizes, pa.int64()), none], names=["doc_id", "n_shingles", "component_id"])
 

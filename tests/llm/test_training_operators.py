@@ -276,6 +276,45 @@ def test_jaccard_components(spark, odd, monkeypatch):
     assert got == want
 
 
+def test_jaccard_sets_of_one_signature(spark):
+    """First signatures cut to four bits clash; the second ones keep the sets apart."""
+    rng = random.Random(6)
+    texts = []
+    for _ in range(12):
+        base = [f"w{rng.randrange(500)}" for _ in range(60)]
+        texts += [" ".join(base), " ".join(base[:-2] + ["x", "y"]), " ".join(base)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs_of(spark, texts), mask=15).collect()}
+    assert got == brute.components(list(enumerate(texts)))
+
+
+def test_jaccard_blocks_skip_no_link():
+    """Against all pairs of a list: those of different components that sizes and positions allow."""
+    rng = np.random.default_rng(3)
+    for size in (2, 31, 32, 33, 400):
+        n = rng.integers(5, 400, size)
+        pos, comp, own = (rng.random(size) * n * 0.3).astype(int), rng.integers(0, 1 + size // 20, size), rng.random(size) < 0.7
+        allowed = lambda i, j: (comp[i] != comp[j]) & (own[i] | own[j]) & jaccard_join.can_link(n[i], pos[i], n[j], pos[j])
+        i, j = np.triu_indices(size, 1)
+        want = set(zip(i[allowed(i, j)].tolist(), j[allowed(i, j)].tolist(), strict=True))
+        found = [(i, j) for i, j in jaccard_join.open_blocks(n, pos, comp, own)]
+        got = [p for i, j in found for p in zip(np.minimum(i, j)[allowed(i, j)].tolist(), np.maximum(i, j)[allowed(i, j)].tolist(), strict=True)]
+        assert len(got) == len(set(got)) and set(got) == want
+        if size == 400:
+            assert sum(len(i) for i, _ in found) < 0.8 * size * (size - 1) / 2
+
+
+def test_jaccard_answers_are_derived_exactly():
+    rng = np.random.default_rng(5)
+    base = np.unique(rng.integers(0, 2**62, 300, np.uint64))
+    known = {k: np.unique(np.concatenate([base[:1], rng.permutation(base[1:])[: 290 - k % 7], rng.integers(2**62, 2**63, k % 11, np.uint64)])) for k in range(40)}
+    known[99] = np.unique(rng.integers(0, 2**63, 5, np.uint64))
+    answers = jaccard_join.Answers(known, dict.fromkeys(known, 40))
+    for a in known:
+        for b in known:
+            assert answers.of(a, b) == len(np.intersect1d(known[a], known[b]))
+    assert answers.derived > 1000
+
+
 def test_jaccard_odd_rows(spark, odd):
     rows = jaccard_join.jaccard_components(odd).collect()
     got = {}
