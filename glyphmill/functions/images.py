@@ -181,6 +181,31 @@ def region_mask(regions: list[tuple[float, float, float, float, float]], width:
     return mask[: height // cell * cell, : width // cell * cell].reshape(height // cell, cell, width // cell, cell).mean(axis=(1, 3))
 
 
+def polygon_mask(regions: list[tuple[float, list[tuple[float, float]]]], width: int, height: int, cell: int = 8) -> np.ndarray:
+    """Cell means of the largest weight over each pixel, for polygons (weight, points); a polygon holds its own outline.
+
+    A pixel is inside where a ray to the right crosses the outline an odd number of times.
+    """
+    mask = np.zeros((height, width), np.float32)
+    for weight, points in regions:
+        p = np.asarray(points, float)
+        q = np.roll(p, -1, axis=0)
+        top, bottom = max(0, int(np.floor(p[:, 1].min()))), min(height - 1, int(np.ceil(p[:, 1].max())))
+        inside = np.zeros((height, width), bool)
+        for y in range(top, bottom + 1):
+            crossed = (p[:, 1] <= y) != (q[:, 1] <= y)
+            a, b = p[crossed], q[crossed]
+            xs = np.sort(a[:, 0] + (y - a[:, 1]) * (b[:, 0] - a[:, 0]) / (b[:, 1] - a[:, 1]))
+            for left, right in zip(xs[::2], xs[1::2], strict=False):
+                inside[y, max(0, int(np.ceil(left))) : int(np.floor(right)) + 1] = True
+        for a, b in zip(p, q, strict=True):
+            line = np.rint(a + (b - a) * np.linspace(0, 1, int(np.ceil(np.abs(b - a).max())) + 1)[:, None]).astype(int)
+            line = line[(line >= 0).all(1) & (line[:, 0] < width) & (line[:, 1] < height)]
+            inside[line[:, 1], line[:, 0]] = True
+        mask[inside] = np.maximum(mask[inside], weight)
+    return mask[: height // cell * cell, : width // cell * cell].reshape(height // cell, cell, width // cell, cell).mean(axis=(1, 3))
+
+
 def image_facts(data: Column) -> Column:
     """struct<format, width, height, orientation, decoded, transparent, dhash> of image bytes."""
 

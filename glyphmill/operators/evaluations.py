@@ -67,3 +67,32 @@ def psnr(mse: Column) -> Column:
 def throughput(rows: DataFrame, rank: str, start: str, end: str, items: str) -> DataFrame:
     """Items per second of concurrent readers: all items over the time from the first start to the last end."""
     return rows.agg(F.countDistinct(rank).alias("readers"), F.sum(items).alias("items"), (F.sum(items) / (F.max(end) - F.min(start))).alias("rate"))
+
+
+def reader_times(rows: DataFrame, rank: str, seconds: str) -> DataFrame:
+    """Batches and interpolated p50 and p95 of the batch seconds of each reader."""
+    return rows.groupBy(rank).agg(F.count("*").alias("batches"), *[F.round(F.percentile(seconds, F.lit(q)), 6).alias(k) for k, q in (("p50", 0.5), ("p95", 0.95))])
+
+
+def region_loss(rows: DataFrame, weight: float = 1.0) -> DataFrame:
+    """Mean squared error, the error weighted by the squared mask over all elements, and their sum.
+
+    rows: prediction and target (arrays of channels x cells), mask (array of cells). Also the mean mask and the share of rows
+    with any mask. A weight that is not finite and at least 0, and arrays that don't match, are errors.
+    """
+    if not 0 <= weight < float("inf"):
+        raise ValueError("the weight must be finite and not negative")
+    cells = F.size("mask")
+    fits = (F.size("prediction") == F.size("target")) & (cells > 0) & (F.size("prediction") % cells == 0)
+    rows = rows.where(F.when(fits, True).otherwise(F.raise_error(F.lit("arrays differ in length")).cast("boolean")))
+    squares = F.zip_with("prediction", "target", lambda p, t: (p.cast("double") - t) * (p.cast("double") - t))
+    held = F.transform(squares, lambda d, i: d * F.get("mask", i % cells) * F.get("mask", i % cells))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v)
+    sums = rows.select(total(squares).alias("__g"), total(held).alias("__r"), F.size("prediction").alias("__n"), total(F.transform("mask", lambda m: m.cast("double"))).alias("__m"), cells.alias("__c"))
+    out = sums.agg((F.sum("__g") / F.sum("__n")).alias("flow"), (F.sum("__r") / F.sum("__n")).alias("region"), (F.sum("__m") / F.sum("__c")).alias("mask_mean"), F.avg((F.col("__m") > 0).cast("double")).alias("masked_share"))
+    return out.withColumn("loss", F.col("flow") + weight * F.col("region"))
+
+
+def exact_sum(value: Column) -> Column:
+    """A sum that does not depend on the order of rows: of the values as decimals with 18 places."""
+    return F.sum(value.cast("decimal(38,18)")).cast("double")

@@ -9,7 +9,7 @@ from glyphmill.operators import evaluations as E
 from glyphmill.plans.registry import load, query
 
 
-@query("A9 D22 A24", """WITH r AS (SELECT event_type AS kind, user_id % 5 AS area, event_id % 6 + 1 AS total, event_id % 3 AS correct, [value / 100, 0.5] AS s, value AS score FROM events)
+@query("A9 D22", """WITH r AS (SELECT event_type AS kind, user_id % 5 AS area, event_id % 6 + 1 AS total, event_id % 3 AS correct, [value / 100, 0.5] AS s, value AS score FROM events)
   SELECT kind, area, count(*) AS samples, CAST(sum(total) AS BIGINT) AS words, round(sum(correct) / greatest(sum(total), 1), 6) AS accuracy, round(sum(s[1] + s[2]) / (2 * count(*)), 6) AS similarity, round(avg(score), 6) AS score FROM r GROUP BY GROUPING SETS ((), (kind, area))""".replace("SELECT kind, area, count", "SELECT coalesce(kind, 'all') AS kind, coalesce(area, -1) AS area, count"))
 def cvtg_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "events").selectExpr("event_type AS kind", "user_id % 5 AS area", "event_id % 6 + 1 AS total_words", "event_id % 3 AS correct_words", "array(value / 100, 0.5D) AS word_scores", "value AS score")
@@ -30,7 +30,7 @@ def dpg_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.category_rollup(rows, "item", "crop", "l1", "l2", "answer", "zeroed")
 
 
-@query("A13 D24 S32", "SELECT coalesce(c_mktsegment, 'all') AS kind, coalesce(CAST(c_nationkey AS VARCHAR), 'all') AS category, round(coalesce(avg(c_acctbal), 0), 6) AS mean, count(c_acctbal) AS n FROM customer GROUP BY CUBE (c_mktsegment, c_nationkey)")
+@query("A13 D24", "SELECT coalesce(c_mktsegment, 'all') AS kind, coalesce(CAST(c_nationkey AS VARCHAR), 'all') AS category, round(coalesce(avg(c_acctbal), 0), 6) AS mean, count(c_acctbal) AS n FROM customer GROUP BY CUBE (c_mktsegment, c_nationkey)")
 def prism_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.two_way_means(load(spark, sf_dir, "customer").selectExpr("c_mktsegment AS kind", "string(c_nationkey) AS category", "c_acctbal AS score"), "kind", "category", "score")
 
@@ -42,13 +42,13 @@ def calibration_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.gradient_summary(rows, F.col("l_returnflag"))
 
 
-@query("A18 M19 A28", "SELECT round(avg(-10 * log10(greatest(m, 1e-12))), 4) AS mean_psnr, round(min(-10 * log10(greatest(m, 1e-12))), 4) AS least_psnr FROM (SELECT list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE) / 4)) / len(embedding) AS m FROM embeddings)")
+@query("A18 M19", "SELECT round(avg(-10 * log10(greatest(m, 1e-12))), 4) AS mean_psnr, round(min(-10 * log10(greatest(m, 1e-12))), 4) AS least_psnr FROM (SELECT list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE) / 4)) / len(embedding) AS m FROM embeddings)")
 def psnr_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     mse = F.aggregate(F.transform("embedding", lambda x: x.cast("double") * x.cast("double") / 4), F.lit(0.0), lambda a, v: a + v) / F.size("embedding")
     return load(spark, sf_dir, "embeddings").agg(F.round(F.avg(E.psnr(mse)), 4).alias("mean_psnr"), F.round(F.min(E.psnr(mse)), 4).alias("least_psnr"))
 
 
-@query("A19 K14", "SELECT count(DISTINCT user_id % 4) AS readers, CAST(sum(event_id % 7) AS BIGINT) AS items, round(sum(event_id % 7) / (max(value) - min(value)), 6) AS rate FROM events")
+@query("A19", "SELECT count(DISTINCT user_id % 4) AS readers, CAST(sum(event_id % 7) AS BIGINT) AS items, round(sum(event_id % 7) / (max(value) - min(value)), 6) AS rate FROM events")
 def reader_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "events").selectExpr("user_id % 4 AS rank", "value AS start", "value AS end", "event_id % 7 AS items")
     out = E.throughput(rows, "rank", "start", "end", "items")

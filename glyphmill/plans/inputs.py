@@ -17,7 +17,7 @@ from glyphmill.sources.scratch import posix, scratch
 from glyphmill.streaming import parts as P
 
 
-@query("S19 K1 K2 D6 Y1", "SELECT doc_id, strlen(text) AS n_bytes, lang FROM documents")
+@query("S19 K1 D6 Y1", "SELECT doc_id, strlen(text) AS n_bytes, lang FROM documents")
 def record_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.dataSource.register(R.RecordSource)
 
@@ -88,7 +88,7 @@ def preprocess_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preprocess.STEPS.chain("first_caption(inkey='texts', outkey='caption')|copy('caption', 'copied')|keep('conv_id', 'turn', 'caption', 'copied')")(rows)
 
 
-@query("X5 X6 X9 K8 D8", "SELECT doc_id, 'n' || length(text) AS caption FROM documents")
+@query("X5 X9 D8", "SELECT doc_id, 'n' || length(text) AS caption FROM documents")
 def model_slot(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "documents")
     return models.apply_model(rows, "text", "caption", lambda: lambda texts: texts.map(lambda t: f"n{len(t)}", na_action="ignore")).select("doc_id", "caption")
@@ -109,7 +109,7 @@ def stream_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.drained(stream.groupBy("event_type").agg(F.count("*").alias("n")), "stream_event_counts_out")
 
 
-@query("T1 T5 T6 T7 T11 T12 T13 A8", "SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events WHERE value > 5 GROUP BY 1")
+@query("T1 T5 T6 T7 T12 T13 A8", "SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events WHERE value > 5 GROUP BY 1")
 def stream_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = load(spark, sf_dir, "events").select("event_id", "event_type", "value")
     source, out = posix(scratch(spark, "in")), posix(scratch(spark, "parts"))

@@ -73,14 +73,14 @@ def positional_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "position").select("doc_id", "page_id")
 
 
-@query("J9 S24 K9 D25", "SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.v IS NULL OR b.v IS NULL THEN '' ELSE printf('%.4f', b.v - a.v) END AS delta FROM (SELECT o_custkey AS k, CAST(count(*) AS DOUBLE) / 7 AS v FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) a FULL JOIN (SELECT o_custkey AS k, CAST(count(*) AS DOUBLE) / 3 AS v FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) b ON a.k = b.k")
+@query("J9 D25", "SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.v IS NULL OR b.v IS NULL THEN '' ELSE printf('%.4f', b.v - a.v) END AS delta FROM (SELECT o_custkey AS k, CAST(count(*) AS DOUBLE) / 7 AS v FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) a FULL JOIN (SELECT o_custkey AS k, CAST(count(*) AS DOUBLE) / 3 AS v FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) b ON a.k = b.k")
 def full_outer_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = load(spark, sf_dir, "orders")
     side = lambda status, n: orders.where(F.col("o_orderstatus") == status).groupBy(F.col("o_custkey").alias("k")).agg((F.count("*").cast("double") / n).alias("v"))
     return J.delta(side("O", 7), side("F", 3), ["k"], "v")
 
 
-@query("J10a J10c U6 S27", "SELECT coalesce(e.doc_id, f.doc_id) AS doc_id, CASE WHEN e.doc_id IS NULL THEN 'unexpected' WHEN f.doc_id IS NULL THEN 'missing' ELSE 'duplicate' END AS state FROM (SELECT doc_id FROM documents) e FULL JOIN (SELECT doc_id, sum(n) AS n FROM (SELECT doc_id + 5 AS doc_id, 1 AS n FROM labels UNION ALL SELECT doc_id + 5, 1 FROM labels WHERE doc_id % 10 = 0) GROUP BY 1) f ON e.doc_id = f.doc_id WHERE e.doc_id IS NULL OR f.doc_id IS NULL OR f.n > 1")
+@query("J10a J10c U6", "SELECT coalesce(e.doc_id, f.doc_id) AS doc_id, CASE WHEN e.doc_id IS NULL THEN 'unexpected' WHEN f.doc_id IS NULL THEN 'missing' ELSE 'duplicate' END AS state FROM (SELECT doc_id FROM documents) e FULL JOIN (SELECT doc_id, sum(n) AS n FROM (SELECT doc_id + 5 AS doc_id, 1 AS n FROM labels UNION ALL SELECT doc_id + 5, 1 FROM labels WHERE doc_id % 10 = 0) GROUP BY 1) f ON e.doc_id = f.doc_id WHERE e.doc_id IS NULL OR f.doc_id IS NULL OR f.n > 1")
 def reconcile_expected(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = load(spark, sf_dir, "labels").select((F.col("doc_id") + 5).alias("doc_id"))
     return audits.reconcile(load(spark, sf_dir, "documents"), labels.union(labels.where("(doc_id - 5) % 10 = 0")), "doc_id")

@@ -64,7 +64,7 @@ def stem_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.coalesce(*order).alias("name"))
 
 
-@query("P28 D20", """WITH f AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2), u AS (SELECT DISTINCT user_id FROM events)
+@query("D20", """WITH f AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2), u AS (SELECT DISTINCT user_id FROM events)
   SELECT u.user_id AS image, coalesce(c.n, 0) >= 1 AND NOT coalesce(p.n, 0) >= 2 AS correct FROM u LEFT JOIN f c ON c.user_id = u.user_id AND c.event_type = 'click' LEFT JOIN f p ON p.user_id = u.user_id AND p.event_type = 'purchase'""")
 def spec_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = load(spark, sf_dir, "events").select(F.col("user_id").alias("image"), F.col("event_type").alias("class"))
@@ -83,7 +83,7 @@ def reported_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hooks.reported(images(spark, sf_dir).where("width > height").select("doc_id"), "doc_id", 20)
 
 
-@query("M12 O11 K6 S17 S18 P32 A21", "SELECT doc_id, 4 AS cells, round(1 + 0.5 * (doc_id % 8 + 1) / 8, 6) AS total, true AS valid FROM documents")
+@query("O11 A21", "SELECT doc_id, 4 AS cells, round(1 + 0.5 * (doc_id % 8 + 1) / 8, 6) AS total, true AS valid FROM documents")
 def region_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A full-weight 8 x 8 corner and a half-weight strip beside it, on 16 x 16 pixels."""
 

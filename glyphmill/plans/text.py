@@ -146,7 +146,7 @@ def magic_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").groupBy(T.sniffed(data).alias("format")).agg(F.count("*").alias("n"))
 
 
-@query("P9 F18", f"SELECT doc_id, {TOKENS_SQL} AS tokens FROM {{images}} WHERE {TOKENS_SQL} <= 400")
+@query("P9", f"SELECT doc_id, {TOKENS_SQL} AS tokens FROM {{images}} WHERE {TOKENS_SQL} <= 400")
 def token_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images(spark, sf_dir).select("doc_id", T.word_tokens(F.col("caption")).cast("long").alias("tokens")).where("tokens <= 400")
 

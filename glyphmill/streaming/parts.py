@@ -6,6 +6,7 @@ import fcntl
 import hashlib
 import json
 import os
+import time
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
@@ -42,6 +43,24 @@ def exclusive(path: str) -> Iterator[None]:
         yield
 
 
+def await_published(path: str, source: str, alive: Callable[[], bool] = lambda: True, seconds: float = 5.0, patience: float = 3600.0) -> dict:
+    """The report at path, once another run has published it.
+
+    An error if that run stops without publishing, if patience ends, or if the report is of another source.
+    """
+    file, start = Path(path), time.monotonic()
+    while not file.is_file():
+        if not alive() and not file.is_file():
+            raise RuntimeError(f"the run stopped without publishing {path}")
+        if time.monotonic() - start > patience:
+            raise TimeoutError(f"{path} was not published")
+        time.sleep(seconds)
+    report = json.loads(file.read_text())
+    if report.get("source") != source:
+        raise ValueError(f"{path} belongs to another source")
+    return report
+
+
 def run_parts(spark: SparkSession, source: str, schema: str, output: str, work: Callable[[DataFrame], DataFrame], files_per_part: int = 1, form: str = "parquet") -> int:
     """Each new group of source files becomes a part: its table, then its receipt. A part without receipt is redone.
 
