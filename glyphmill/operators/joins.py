@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from glyphmill.functions.geometry import hamming
 from glyphmill.operators.audits import require_unique
+from glyphmill.sources.scratch import scratch
 
-#: Rows of a look-up side that is broadcast; a larger one is joined as Spark sees fit.
-BROADCAST_ROWS = 1_000_000
+#: Rows and bytes (as JSON text) of a look-up side that is broadcast; a larger one is joined as Spark sees fit.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `rows` rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it has at most `rows` rows and `size` bytes; this reads at most one row more."""
+    first = df.limit(rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if first["n"] <= rows and first["bytes"] <= size else df
 
 
 def with_all_captions(rows: DataFrame, captions: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -56,14 +62,60 @@ def by_position(a: DataFrame, b: DataFrame, order_a: str, order_b: str) -> DataF
     return with_position(a, order_a).join(with_position(b, order_b), "position")
 
 
-def with_position(df: DataFrame, order: str | list[str], name: str = "position") -> DataFrame:
-    """df with the number of each row in the order: range partitions, their sizes, and a place within each."""
+def ordered_parts(df: DataFrame, order: list[str]) -> DataFrame:
+    """df with __part, the place of a row's range of the order; written, so that every use sees the same parts."""
+    path = scratch(df.sparkSession, "parts")
+    ranged = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    ranged.write.parquet(path)
+    return df.sparkSession.read.schema(ranged.schema).parquet(path)
+
+
+def full_order(df: DataFrame, order: list[str]) -> list[str]:
+    """The order and, behind it, the other columns that can be ordered: they decide between rows that the order leaves equal."""
+    return [*order, *[f.name for f in df.schema if f.name not in order and not isinstance(f.dataType, MapType | VariantType)]]
+
+
+def _local(parts: DataFrame, order: list[str]) -> WindowSpec:
+    return Window.partitionBy("__part").orderBy(*order)
+
+
+def running_total(df: DataFrame, order: str | list[str], value: Column, name: str) -> DataFrame:
+    """df with the sum of `value` over all rows up to each one in the order: sums within ranges, and of the ranges before.
+
+    No task holds more than one range; only the ranges' sums (one row each) meet.
+    """
     order = [order] if isinstance(order, str) else order
-    parts = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    local = parts.withColumn("__local", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
-    sizes = local.groupBy("__part").agg(F.count("*").alias("__n"))
-    starts = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__start"))
-    return local.join(F.broadcast(starts), "__part").withColumn(name, F.col("__start") + F.col("__local") - 1).drop("__part", "__local", "__start")
+    parts, order = ordered_parts(df.withColumn("__value", value), order), full_order(df, order)
+    sums = parts.groupBy("__part").agg(F.sum("__value").alias("__n"))
+    starts = sums.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__start"))  # a row for each range
+    total = F.sum("__value").over(_local(parts, order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return parts.join(F.broadcast(starts), "__part").withColumn(name, F.col("__start") + total).drop("__part", "__value", "__start")
+
+
+def with_position(df: DataFrame, order: str | list[str], name: str = "position") -> DataFrame:
+    """df with the number of each row in the order, from 0, without one task for all rows."""
+    return running_total(df, order, F.lit(1).cast("long"), name).withColumn(name, F.col(name) - 1)
+
+
+def with_group_position(df: DataFrame, group: list[str], order: list[str], name: str = "position") -> DataFrame:
+    """df with the number of each row within its group, from 0; a group of any size is dealt over ranges."""
+    placed = with_position(df, [*group, *order], "__at")
+    first = placed.groupBy(*group).agg(F.min("__at").alias("__first"))
+    alike = [F.col(f"p.{g}").eqNullSafe(F.col(f"f.{g}")) for g in group]
+    joined = placed.alias("p").join(small(first).alias("f"), reduce(and_, alike))
+    return joined.select(*[F.col(f"p.{c}") for c in df.columns], (F.col("p.__at") - F.col("f.__first")).alias(name))
+
+
+def with_previous(df: DataFrame, group: list[str], order: list[str], column: str, name: str) -> DataFrame:
+    """df with a struct of the value of `column` in the row before within the group, or null in a group's first row."""
+    parts, order = ordered_parts(df, [*group, *order]), full_order(df, [*group, *order])
+    row = F.struct(*[F.col(g).alias(f"g{i}") for i, g in enumerate(group)], F.col(column).alias("v"))
+    last = parts.groupBy("__part").agg(F.max_by(row, F.struct(*order)).alias("__last"))
+    carried = last.select("__part", F.lag("__last").over(Window.orderBy("__part")).alias("__carried"))  # a row for each range
+    rows = parts.join(F.broadcast(carried), "__part").withColumn("__row", row)
+    rows = rows.withColumn("__prev", F.coalesce(F.lag("__row").over(_local(parts, order)), F.col("__carried")))
+    same = reduce(and_, [F.col(f"__prev.g{i}").eqNullSafe(F.col(g)) for i, g in enumerate(group)], F.col("__prev").isNotNull())
+    return rows.withColumn(name, F.when(same, F.struct(F.col("__prev.v").alias("value")))).drop("__part", "__carried", "__row", "__prev")
 
 
 def delta(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -82,7 +134,7 @@ def banded_pairs(rows: DataFrame, distance: int = 3, off: float = 0.05, dense: i
     bands = F.posexplode(F.array(*[F.shiftrightunsigned("hash", 16 * b).bitwiseAND(F.lit(65535)) for b in range(4)])).alias("band", "value")
     placed = rows.select("*", bands)
     if dense is not None:
-        placed = placed.withColumn("__before", F.row_number().over(Window.partitionBy("band", "value").orderBy("ord")) - 1)
+        placed = with_group_position(placed, ["band", "value"], ["ord"], "__before")
     else:
         placed = placed.withColumn("__before", F.lit(0))
     early = placed.select("band", "value", *[F.col(c).alias(f"a_{c}") for c in ("ord", "id", "hash", "aspect", "pixels")])

@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glyphmill.operators.joins import small, with_group_position, with_position
+from glyphmill.sources.scratch import scratch
+
 
 def top_per_group(rows: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:
     place = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
@@ -50,29 +53,41 @@ def rotated(rows: DataFrame, domains: list[str], dimensions: list[str], order: s
 
 
 def water_fill(capacities: DataFrame, total: int, key: str = "bucket", capacity: str = "capacity") -> DataFrame:
-    """Quotas of a total: one for each bucket in turn while it has room."""
-    slots = capacities.select(key, F.explode(F.sequence(F.lit(1), F.greatest(F.least(F.col(capacity), F.lit(total)), F.lit(0)))).alias("slot"), F.col(capacity).alias("__c")).where("slot > 0 AND slot <= __c")
-    taken = slots.orderBy("slot", key).limit(total).groupBy(key).agg(F.count("*").alias("quota"))
-    return capacities.select(key).join(taken, key, "left").select(key, F.coalesce("quota", F.lit(0)).alias("quota"))
+    """Quotas of a total: one for each bucket in turn while it has room.
+
+    All buckets are filled to one level, found by halving, and the first ones that have more room take one more.
+    """
+    held = capacities.select(key, F.greatest(F.col(capacity).cast("long"), F.lit(0)).alias("__c"))
+    path = scratch(held.sparkSession, "capacities")
+    held.write.parquet(path)
+    held = held.sparkSession.read.schema(held.schema).parquet(path)
+    filled = lambda level: held.agg(F.coalesce(F.sum(F.least("__c", F.lit(level))), F.lit(0)).alias("n")).first()["n"]
+    low, high = 0, max(0, total)  # filled to low, at most the total is taken
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if filled(middle) <= total else (low, middle - 1)
+    rest = total - filled(low)
+    more = held.where(F.col("__c") > low).orderBy(key).limit(rest).select(key, F.lit(1).alias("__more"))
+    return held.join(small(more), key, "left").select(key, (F.least("__c", F.lit(low)) + F.coalesce("__more", F.lit(0))).alias("quota"))
 
 
 def batch_plan(rows: DataFrame, group: str, key: str, batch: int, seed: int, epoch: int, drop_remainder: bool = False) -> DataFrame:
     """step, position, key: shuffled rows of each group in batches; the tail is padded from the group's start, or dropped.
 
     Batches of all groups are shuffled. The plan is a function of seed and epoch, so a run resumes at any step
-    by filtering on step.
+    by filtering on step. Places within a group, and steps, come from ranges of the shuffled order, never from one task.
     """
     tag = seed * 1_000_003 + epoch
-    place = F.row_number().over(Window.partitionBy(group).orderBy(seeded_key(tag, key), key)) - 1
-    placed = rows.select(group, key).withColumn("__p", place)
+    shuffled = rows.select(group, key).withColumn("__key", seeded_key(tag, key))
+    placed = with_group_position(shuffled, [group], ["__key", key], "__p")
     sizes = rows.groupBy(group).agg(F.count("*").alias("__n"))
     full = F.floor(F.col("__n") / batch) * batch if drop_remainder else F.ceil(F.col("__n") / batch) * batch
-    placed = placed.join(F.broadcast(sizes), group).withColumn("__full", full.cast("long"))
+    placed = placed.join(small(sizes), group).withColumn("__full", full.cast("long"))
     # A row stands at its place and, as padding, at places that many rows later.
     spots = F.sequence(F.col("__p").cast("long"), F.greatest(F.col("__full") - 1, F.col("__p").cast("long")), F.col("__n"))
     spread = placed.where(F.col("__p") < F.col("__full")).select(group, key, F.explode(spots).alias("__at")).withColumns({"__b": F.expr(f"__at div {batch}"), "position": F.col("__at") % batch})
-    batches = spread.select(group, "__b").distinct()
-    steps = batches.withColumn("step", F.row_number().over(Window.orderBy(seeded_key(tag, group, "__b"), group, "__b")) - 1)
+    batches = sizes.withColumn("__full", full.cast("long")).where("__full > 0").select(group, F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"__full div {batch} - 1"))).alias("__b"))
+    steps = with_position(batches.withColumn("__key", seeded_key(tag, group, "__b")), ["__key", group, "__b"], "step").drop("__key")
     return spread.join(steps, [group, "__b"]).select("step", "position", group, key)
 
 
@@ -93,8 +108,6 @@ def batch_plan_numpy(rows: DataFrame, group: str, order: str, key: str, batch: i
 
 def even_shards(rows: DataFrame, order: str, shards: int) -> DataFrame:
     """shard of each row: contiguous, sizes differ by one, larger ones first; positions need no single task."""
-    from glyphmill.operators.joins import with_position
-
     n = rows.count()
     k = max(1, min(n, shards))
     size, more = divmod(n, k)

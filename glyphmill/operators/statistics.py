@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphmill.operators.joins import running_total
+
 
 def histogram(df: DataFrame, column: str, width: int) -> DataFrame:
     """bin (its lower end) and n, without empty bins."""
@@ -12,10 +14,10 @@ def histogram(df: DataFrame, column: str, width: int) -> DataFrame:
 
 
 def _cumulative(df: DataFrame, column: str) -> DataFrame:
-    """Distinct values with the count up to each; the window runs over counts, not rows."""
+    """Distinct values with the count up to each and the count of all; a running total over ranges of the values."""
     counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("c"))
-    order = Window.orderBy(column)
-    return counts.select(column, F.sum("c").over(order).alias("cum"), F.sum("c").over(Window.partitionBy()).alias("n"))
+    total = running_total(counts, column, F.col("c"), "cum")
+    return total.join(F.broadcast(total.agg(F.max("cum").alias("n"))), F.lit(True)).select(column, "cum", "n")  # one row
 
 
 def percentiles_by_rank(df: DataFrame, column: str, quantiles: tuple[float, ...]) -> DataFrame:

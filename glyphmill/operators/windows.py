@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glyphmill.operators.joins import running_total, small, with_group_position, with_previous
+
 
 def rolling_offsets(rows: DataFrame, group: list[str], order: str, size: str, limit: int) -> DataFrame:
     """file and offset of payloads of one size in each group: a file holds what fits into the limit, at least one."""
     per_file = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.col(size))).cast("long")
-    place = F.row_number().over(Window.partitionBy(*group).orderBy(order)) - 1
-    placed = rows.withColumns({"__p": place, "__n": per_file})
+    placed = with_group_position(rows, group, [order], "__p").withColumn("__n", per_file)
     return placed.withColumns({"file": F.expr("__p div __n"), "offset": (F.col("__p") % F.col("__n")) * F.col(size)}).drop("__p", "__n")
 
 
@@ -35,14 +36,19 @@ def greedy_groups(files: DataFrame, order: str, count: str, limit: int) -> DataF
 
 
 def islands(rows: DataFrame, partition: list[str], order: str, value: str, size: int | None = None) -> DataFrame:
-    """island of each row: a new one where the value changes and, with size, after that many rows."""
-    w = Window.partitionBy(*partition).orderBy(order)
-    change = (~F.lag(value).over(w).eqNullSafe(F.col(value))).cast("int")
-    rows = rows.withColumn("island", F.sum(change).over(w))
+    """island of each row: a new one where the value changes and, with size, a chunk after that many rows.
+
+    Partitions of any size are dealt over ranges of the order: changes are told from the row before, across ranges too, and
+    numbered by a running total.
+    """
+    change = F.coalesce((~F.col("__before.value").eqNullSafe(F.col(value))).cast("long"), F.lit(1))
+    marked = with_previous(rows, partition, [order], value, "__before").withColumn("__change", change).drop("__before")
+    total = running_total(marked, [*partition, order], F.col("__change"), "__all")
+    first = total.groupBy(*partition).agg(F.min("__all").alias("__first"))
+    out = total.join(small(first), partition).withColumn("island", F.col("__all") - F.col("__first") + 1).drop("__all", "__first", "__change")
     if size is None:
-        return rows
-    place = F.row_number().over(Window.partitionBy(*partition, "island").orderBy(order)) - 1
-    return rows.withColumn("__p", place).withColumn("chunk", F.expr(f"__p div {size}")).drop("__p")
+        return out
+    return with_group_position(out, [*partition, "island"], [order], "__p").withColumn("chunk", F.expr(f"__p div {size}")).drop("__p")
 
 
 def cumulative_split(total: int, parts: int, rank: int) -> tuple[int, int]:
