@@ -97,3 +97,24 @@ def share_coefficient(g2: Column, r2: Column, dot: Column, share: float) -> Colu
     root = F.sqrt(1 - share * share + (share * cos) * (share * cos))
     factor = F.when(cos < 0, share / (root - share * cos)).otherwise(share * (share * cos + root) / (1 - share * share))
     return F.when((g2 > 0) & (r2 > 0), F.try_divide(g, r) * factor)
+
+
+def to_bucket(points: Column, width: Column, height: Column, bw: Column, bh: Column) -> Column:
+    """Points (array of struct<x, y>) of an image in the bucket that it is fitted and padded into."""
+    w, h = fit_pad(width, height, bw, bh)
+    dx, dy = F.floor((bw - w) / 2), F.floor((bh - h) / 2)
+    return F.transform(points, lambda p: F.struct((p["x"] * w / width + dx).alias("x"), (p["y"] * h / height + dy).alias("y")))
+
+
+def logit_normal(normal: Column, mean: float = 0.0, deviation: float = 1.0) -> Column:
+    """A time in (0, 1) of a standard normal draw (F.randn(seed) for random ones)."""
+    return 1 / (1 + F.exp(-(mean + deviation * normal)))
+
+
+def shifted_time(t: Column, shift: float) -> Column:
+    return shift * t / (1 + (shift - 1) * t)
+
+
+def interpolant(start: Column, end: Column, t: Column) -> Column:
+    """(1 - t) start + t end of arrays."""
+    return F.zip_with(start, end, lambda a, b: (1 - t) * a + t * b)

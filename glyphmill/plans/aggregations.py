@@ -47,7 +47,7 @@ def normalised_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes.select("source", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 9).alias("weight"))
 
 
-@query("A26 S16 S24", "SELECT user_id, arg_max(event_type, event_id) AS last, arg_max(CASE WHEN value > 5 THEN event_type END, event_id) FILTER (WHERE value > 5) AS last_high FROM events GROUP BY 1".replace("arg_max(CASE WHEN value > 5 THEN event_type END, event_id) FILTER (WHERE value > 5)", "coalesce(arg_max(event_type, event_id) FILTER (WHERE value > 5), '')"))
+@query("A26", "SELECT user_id, arg_max(event_type, event_id) AS last, arg_max(CASE WHEN value > 5 THEN event_type END, event_id) FILTER (WHERE value > 5) AS last_high FROM events GROUP BY 1".replace("arg_max(CASE WHEN value > 5 THEN event_type END, event_id) FILTER (WHERE value > 5)", "coalesce(arg_max(event_type, event_id) FILTER (WHERE value > 5), '')"))
 def last_write_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     high = F.coalesce(F.expr("max_by(event_type, event_id) FILTER (WHERE value > 5)"), F.lit(""))
     return load(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("last"), high.alias("last_high"))

@@ -190,7 +190,7 @@ def polygon_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "part").select("p_partkey", G.polygon_area(F.array(point(F.lit(0), F.lit(0)), point(w, F.lit(0)), point(w, h))).alias("area"))
 
 
-@query("P22 M11 A1", """WITH r AS (SELECT doc_id, width, height, (doc_id % 100) / 100.0::DOUBLE AS score, doc_id % 9 AS h, doc_id % 11 = 0 AS no_text, doc_id % 1500 AS x FROM {images}),
+@query("P22 A1", """WITH r AS (SELECT doc_id, width, height, (doc_id % 100) / 100.0::DOUBLE AS score, doc_id % 9 AS h, doc_id % 11 = 0 AS no_text, doc_id % 1500 AS x FROM {images}),
   c AS (SELECT *, CASE WHEN no_text THEN 'empty_text' WHEN score < 0.1 THEN 'low_confidence' WHEN h = 0 THEN 'invalid_geometry' WHEN x + 10 > width THEN 'out_of_bounds' WHEN h < 3 THEN 'below_min_height' ELSE 'used' END AS reason FROM r)
   SELECT reason, count(*) AS n, round(sum(CASE WHEN reason = 'used' THEN least(1.0, 4.0 / h) END), 6) AS weight FROM c GROUP BY reason""")
 def region_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

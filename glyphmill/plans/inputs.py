@@ -61,13 +61,13 @@ def sqlite_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.format("sqlite").schema("photoid int, downloadurl string").option("dbtable", "photos").load(path)
 
 
-@query("S33 T3 T4 P5", "SELECT CAST(page_id AS VARCHAR) AS photoid, strlen(url) AS n FROM pages")
+@query("T3 T4 P5", "SELECT CAST(page_id AS VARCHAR) AS photoid, strlen(url) AS n FROM pages")
 def url_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("photoid"), "url")
     return M.fetched(rows, lambda u: u.encode()).select("photoid", F.octet_length("data").cast("long").alias("n"))
 
 
-@query("C7 A22 M13 S4 C10", "SELECT doc_id, 'png' AS format, 8 AS width, 8 AS height, (doc_id % 65) / 64 AS transparent FROM documents")
+@query("C7 A22", "SELECT doc_id, 'png' AS format, 8 AS width, 8 AS height, (doc_id % 65) / 64 AS transparent FROM documents")
 def image_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     @F.pandas_udf("binary")
     def drawn(ids: pd.Series) -> pd.Series:
@@ -109,7 +109,7 @@ def stream_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.drained(stream.groupBy("event_type").agg(F.count("*").alias("n")), "stream_event_counts_out")
 
 
-@query("T1 T5 T6 T7 T12 T13 A8", "SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events WHERE value > 5 GROUP BY 1")
+@query("T7 T12 T13 A8", "SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events WHERE value > 5 GROUP BY 1")
 def stream_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = load(spark, sf_dir, "events").select("event_id", "event_type", "value")
     source, out = posix(scratch(spark, "in")), posix(scratch(spark, "parts"))

@@ -24,12 +24,12 @@ def caption_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count("*").alias("images"), F.count("there").alias("captioned"), (F.count("*") - F.count("there")).alias("missing"))
 
 
-@query("J2 S6 S15", "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+@query("J2", "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def anti_join_done(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.not_done(load(spark, sf_dir, "documents").select("doc_id"), load(spark, sf_dir, "labels"), "doc_id")
 
 
-@query("J3 P8b S14 A26", "WITH m AS (SELECT user_id AS doc_id, arg_max(value, event_id) AS short_edge FROM events GROUP BY 1) SELECT d.doc_id, round(m.short_edge, 6) AS short_edge FROM documents d JOIN m USING (doc_id) WHERE m.short_edge >= 10")
+@query("J3 P8b A26", "WITH m AS (SELECT user_id AS doc_id, arg_max(value, event_id) AS short_edge FROM events GROUP BY 1) SELECT d.doc_id, round(m.short_edge, 6) AS short_edge FROM documents d JOIN m USING (doc_id) WHERE m.short_edge >= 10")
 def shape_metadata_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     metadata = load(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("value").alias("short_edge"), "event_id")
     rows = J.with_metadata(load(spark, sf_dir, "documents").select("doc_id"), metadata, "doc_id", "short_edge", "event_id")
@@ -43,7 +43,7 @@ def strict_scan_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.strict_lookup(rows, scan, "l_orderkey").where("NOT transparent > 0.5").select("l_orderkey", "l_linenumber")
 
 
-@query("J5 S13", """SELECT p.doc_id, CASE WHEN t.doc_id IS NULL THEN 'missing' WHEN p.source <> t.source THEN 'source' WHEN p.n_chars <> t.n_chars THEN 'n_chars' END AS reason
+@query("J5", """SELECT p.doc_id, CASE WHEN t.doc_id IS NULL THEN 'missing' WHEN p.source <> t.source THEN 'source' WHEN p.n_chars <> t.n_chars THEN 'n_chars' END AS reason
   FROM (SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN 'x' ELSE source END AS source, n_chars + CASE WHEN doc_id % 19 = 0 THEN 1 ELSE 0 END AS n_chars FROM documents) p
   LEFT JOIN (SELECT * FROM documents WHERE doc_id % 23 <> 0) t ON p.doc_id = t.doc_id WHERE t.doc_id IS NULL OR p.source <> t.source OR p.n_chars <> t.n_chars""")
 def pointer_join_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +93,7 @@ def _hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images(spark, sf_dir).selectExpr("doc_id AS ord", "doc_id AS id", "((doc_id % 50) * 72340172838076673) ^ shiftleft(1L, cast(doc_id % 60 as int)) AS hash", "width / height AS aspect", "doc_id % 7 AS pixels")
 
 
-@query("J11 M14 M13", f"""WITH h AS (SELECT ord, id, CAST(xor(base, bit) AS BIGINT) AS hash, aspect, pixels FROM ({_HASHED_SQL})), b AS (SELECT *, (hash >> CAST(16 * band AS BIGINT)) & 65535 AS value FROM h, (VALUES (0), (1), (2), (3)) v(band)),
+@query("J11 M14", f"""WITH h AS (SELECT ord, id, CAST(xor(base, bit) AS BIGINT) AS hash, aspect, pixels FROM ({_HASHED_SQL})), b AS (SELECT *, (hash >> CAST(16 * band AS BIGINT)) & 65535 AS value FROM h, (VALUES (0), (1), (2), (3)) v(band)),
   r AS (SELECT *, row_number() OVER (PARTITION BY band, value ORDER BY ord) - 1 AS before FROM b)
   SELECT DISTINCT x.id AS first, y.id AS second, CAST(bit_count(xor(x.hash, y.hash)) AS INTEGER) AS distance FROM r x JOIN r y ON x.band = y.band AND x.value = y.value AND x.ord < y.ord
   WHERE y.before <= 256 AND x.pixels <> y.pixels AND bit_count(xor(x.hash, y.hash)) <= 3 AND abs(ln(y.aspect / x.aspect)) <= 0.05""")
@@ -101,7 +101,7 @@ def near_dup_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.banded_pairs(_hashed(spark, sf_dir))
 
 
-@query("J11 M14 M13", f"""WITH h AS (SELECT ord, id, CAST(xor(base, bit) AS BIGINT) AS hash, aspect, pixels FROM ({_HASHED_SQL}))
+@query("J11 M14", f"""WITH h AS (SELECT ord, id, CAST(xor(base, bit) AS BIGINT) AS hash, aspect, pixels FROM ({_HASHED_SQL}))
   SELECT x.id AS first, y.id AS second, CAST(bit_count(xor(x.hash, y.hash)) AS INTEGER) AS distance FROM h x JOIN h y ON x.ord < y.ord
   WHERE x.pixels <> y.pixels AND bit_count(xor(x.hash, y.hash)) <= 3 AND abs(ln(y.aspect / x.aspect)) <= 0.05""")
 def near_dup_bands_exact(spark: SparkSession, sf_dir: str) -> DataFrame:

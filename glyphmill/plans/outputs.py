@@ -29,7 +29,7 @@ def routed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(folder).groupBy("lang").agg(F.count("*").alias("n"))
 
 
-@query("K11 S31 S25 S20", "SELECT role, printf('%s: %d turns', role, count(*)) AS line FROM conversations GROUP BY role")
+@query("S31 S25", "SELECT role, printf('%s: %d turns', role, count(*)) AS line FROM conversations GROUP BY role")
 def score_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON lines with some malformed ones, which the read drops."""
     folder = scratch(spark, "lines")
@@ -39,16 +39,7 @@ def score_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.groupBy("role").agg(F.format_string("%s: %d turns", F.first("role"), F.count("*")).alias("line"))
 
 
-@query("S23", "SELECT n_nationkey AS k, n_name AS name FROM nation WHERE n_nationkey > 0")
-def csv_without_first_row(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first data row is dropped, as the reader that this follows does."""
-    folder = scratch(spark, "csv")
-    load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name")).coalesce(1).orderBy("k").write.option("header", "true").csv(folder)
-    rows = spark.read.schema("k int, name string").option("header", "true").csv(folder)
-    return rows.join(F.broadcast(rows.agg(F.min("k").alias("first"))), F.col("k") > F.col("first")).select("k", "name")  # one row
-
-
-@query("S30 S29 O1 O8", "SELECT doc_id // 10 AS folder, doc_id % 10 AS place FROM documents ORDER BY doc_id")
+@query("O1 O8", "SELECT doc_id // 10 AS folder, doc_id % 10 AS place FROM documents ORDER BY doc_id")
 def numeric_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Folders may have more than five digits."""
     path = F.format_string("/run/%05d/samples/%d.png", F.expr("doc_id div 10"), F.col("doc_id") % 10)
@@ -96,7 +87,7 @@ def region_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("mask").alias("cells"), total.alias("total"), F.forall("mask", lambda v: v.between(0, 1)).alias("valid"))
 
 
-@query("C8 K12", "SELECT g AS grp, 8 AS width, 8 AS height, count(*) * 16 AS pixels FROM (SELECT doc_id // 4 AS g FROM documents) GROUP BY g HAVING count(*) = 4")
+@query("C8", "SELECT g AS grp, 8 AS width, 8 AS height, count(*) * 16 AS pixels FROM (SELECT doc_id // 4 AS g FROM documents) GROUP BY g HAVING count(*) = 4")
 def stitched_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     @F.pandas_udf("width int, height int, pixels long")
     def facts(groups: pd.Series) -> pd.DataFrame:

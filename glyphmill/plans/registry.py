@@ -40,4 +40,4 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-from glyphmill.plans import aggregations, artifacts, evaluations, geometry, inputs, joins, outputs, text, windows  # noqa: E402,F401
+from glyphmill.plans import aggregations, artifacts, evaluations, files, geometry, inputs, joins, outputs, text, windows  # noqa: E402,F401

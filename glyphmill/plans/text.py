@@ -88,7 +88,7 @@ def output_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", F.format_string("%05d/samples/%05d.png", F.expr("doc_id div 4"), i % 4).alias("path"), F.expr("doc_id div 100").alias("category"), (i % 100).alias("place"))
 
 
-@query("F16 F17 K10", "SELECT doc_id, replace(replace(replace(replace(replace(replace(text, chr(10), ' '), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS html FROM documents")
+@query("F16 F17", "SELECT doc_id, replace(replace(replace(replace(replace(replace(text, chr(10), ' '), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS html FROM documents")
 def html_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", S.html_escape(S.single_line(F.col("text"))).alias("html"))
 
@@ -107,7 +107,7 @@ def prompt_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("<"), "role", F.lit(">\nText ("), F.size(lines), F.lit("): "), quoted).alias("prompt"))
 
 
-@query("P3a P3b S5 S28 S29", "SELECT doc_id, 'a.' || doc_id AS last_dot, 'a' AS first_dot, CAST(doc_id AS BIGINT) AS number FROM documents")
+@query("P3a P3b", "SELECT doc_id, 'a.' || doc_id AS last_dot, 'a' AS first_dot, CAST(doc_id AS BIGINT) AS number FROM documents")
 def path_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.lit("/data/x/a."), "doc_id", F.lit(".jpg"))
     return load(spark, sf_dir, "documents").select("doc_id", S.stem(path).alias("last_dot"), S.stem(path, True).alias("first_dot"), F.regexp_extract(path, r"\.(\d+)\.jpg$", 1).cast("long").alias("number"))
@@ -197,7 +197,7 @@ def not_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").where(F.trim(F.coalesce("text", F.lit(""))) != "").agg(F.count("*").alias("n"))
 
 
-@query("C9 K15", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '{\"id\":' || doc_id || ',\"lang\":\"' || lang || '\"}' ELSE '{\"id\":' || doc_id || '}' END AS json FROM documents")
+@query("C9", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '{\"id\":' || doc_id || ',\"lang\":\"' || lang || '\"}' ELSE '{\"id\":' || doc_id || '}' END AS json FROM documents")
 def null_stripped_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = F.struct(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("lang"))
     return load(spark, sf_dir, "documents").select("doc_id", F.to_json(row).alias("json"))

@@ -7,13 +7,17 @@ import os
 import sqlite3
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from glyphmill.sources.scratch import scratch
+
 RECORD = (
     "id string, caption string, width int, height int, image_path string, parquet_path string, row_group int, row_in_group int, "
     "cache_path string, cache_offset bigint, cache_height int, cache_width int, transform_fingerprint string"
@@ -127,14 +131,113 @@ def write_json(path: str, value: object) -> None:
     os.replace(temporary, target)
 
 
-def gallery(rows: DataFrame, path: str, columns: list[str], limit: int = 200) -> None:
-    """A page with a table of the first rows; values are escaped."""
+def gallery(rows: DataFrame, folder: str, order: list[str], columns: list[str], page: int = 200) -> DataFrame:
+    """All rows as pages of tables, in order, `page` rows each; values are escaped. Returns page and its number of rows.
+
+    Pages are written by the tasks, so the folder must be one that driver and executors share.
+    """
     import html
 
-    got = rows.select(*columns).limit(limit).collect()
-    head = "".join(f"<th>{html.escape(c)}</th>" for c in columns)
-    body = "".join("<tr>" + "".join(f"<td>{html.escape(str(v))}</td>" for v in r) + "</tr>\n" for r in got)
-    Path(path).write_text(f"<!doctype html><meta charset=utf-8><table><tr>{head}</tr>\n{body}</table>\n", encoding="utf-8")
+    from glyphmill.operators.joins import with_position
+
+    Path(folder).mkdir(parents=True, exist_ok=True)
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, number = pdf.sort_values("__at"), int(pdf["__page"].iloc[0])
+        head = "".join(f"<th>{html.escape(c)}</th>" for c in columns)
+        body = "".join("<tr>" + "".join(f"<td>{html.escape(str(v))}</td>" for v in r) + "</tr>\n" for r in pdf[columns].itertuples(index=False))
+        links = f'<a href="page{number - 1:06d}.html">before</a> <a href="page{number + 1:06d}.html">after</a>'
+        target = Path(folder, f"page{number:06d}.html")
+        temporary = target.with_name(f".{target.name}.{os.getpid()}")
+        temporary.write_text(f"<!doctype html><meta charset=utf-8>{links}<table><tr>{head}</tr>\n{body}</table>\n", encoding="utf-8")
+        os.replace(temporary, target)
+        return pd.DataFrame({"page": [number], "n": [len(pdf)]})
+
+    placed = with_position(rows.select(*dict.fromkeys([*order, *columns])), order, "__at").withColumn("__page", F.expr(f"__at div {page}"))
+    return placed.groupBy("__page").applyInPandas(write, "page long, n long")
+
+
+def in_file_order(rows: DataFrame) -> Column:
+    """A key that grows along the files of a scan of text: the file, the block's start, and the row within the block."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+
+
+def shape_metadata(spark: SparkSession, path: str, key: str = "image_path", fields: tuple[str, ...] = ("width", "height")) -> DataFrame:
+    """key and short_edge of JSON lines; the last line of a key wins. A missing field is an error."""
+    lines = spark.read.text(path)
+    rows = lines.select(in_file_order(lines).alias("at"), F.col("value").alias("line")).where(F.trim("line") != "")
+    rows = rows.withColumn("r", F.from_json("line", ", ".join([f"{key} string", *[f"{f} long" for f in fields]])))
+    missing = reduce(or_, [F.col(f"r.{c}").isNull() for c in (key, *fields)])
+    rows = rows.where(F.when(missing, F.raise_error(F.concat(F.lit("a field is missing: "), "line")).cast("boolean")).otherwise(True))
+    return rows.groupBy(F.col(f"r.{key}").alias(key)).agg(F.max_by(F.least(*[F.col(f"r.{f}") for f in fields]), "at").alias("short_edge"))
+
+
+def csv_last(spark: SparkSession, path: str, schema: str, key: str, drop_first: bool = False) -> DataFrame:
+    """Rows of CSV files with a header, the last of each key; with drop_first without the first data row of all."""
+    raw = spark.read.schema(schema).option("header", "true").csv(path)
+    rows = raw.select("*", in_file_order(raw).alias("__at"))
+    if drop_first:
+        path = scratch(spark, "csv")  # written, so that both uses see the same order
+        rows.write.parquet(path)
+        rows = spark.read.schema(rows.schema).parquet(path)
+        rows = rows.join(F.broadcast(rows.agg(F.min("__at").alias("__first"))), F.col("__at") > F.col("__first")).drop("__first")  # one row
+    names = [c for c in raw.columns if c != key]
+    return rows.groupBy(key).agg(*[F.max_by(c, "__at").alias(c) for c in names])
+
+
+def fetch_rows(pointers: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """pointers (id, path, row_group, row_in_group) with columns (name: type) of their Parquet rows and a problem, or null.
+
+    Only the row groups that are pointed at are read, each once, and of them only the columns. Paths must be ones that
+    executors can open.
+    """
+
+    def read(pdf: pd.DataFrame) -> pd.DataFrame:
+        import pyarrow.parquet as pq
+
+        out = pdf[["id", "path", "row_group", "row_in_group"]].reset_index(drop=True)
+        group, problem, table = int(out["row_group"].iloc[0]), None, None
+        try:
+            file = pq.ParquetFile(out["path"].iloc[0])
+            if not 0 <= group < file.num_row_groups:
+                problem = "no row group"
+            elif missing := [c for c in columns if c not in file.schema_arrow.names]:
+                problem = f"no column {missing[0]}"
+            else:
+                table = file.read_row_group(group, columns=list(columns)).to_pydict()
+        except Exception as e:  # noqa: BLE001  an unreadable file is reported for each of its pointers
+            problem = f"unreadable: {type(e).__name__}"
+        size = len(next(iter(table.values()))) if table else 0
+        ok = [table is not None and 0 <= r < size for r in out["row_in_group"]]
+        for c in columns:
+            out[c] = pd.Series([table[c][r] if good else None for r, good in zip(out["row_in_group"], ok, strict=True)], dtype=object)
+        out["problem"] = [None if good else problem or "no row" for good in ok]
+        return out
+
+    schema = ", ".join(["id string, path string, row_group long, row_in_group long", *[f"{c} {t}" for c, t in columns.items()], "problem string"])
+    rows = pointers.select(F.col("id").cast("string"), "path", F.col("row_group").cast("long"), F.col("row_in_group").cast("long"))
+    return rows.groupBy("path", "row_group").applyInPandas(read, schema)
+
+
+def export_files(rows: DataFrame, folder: str, name: str, data: str) -> DataFrame:
+    """name, path and bytes of payloads written as single files (PNG, thumbnails, reports) in a shared folder."""
+    Path(folder).mkdir(parents=True, exist_ok=True)
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            paths = []
+            for n, d in zip(pdf[name], pdf[data], strict=True):
+                target = Path(folder, n)
+                if not target.resolve().is_relative_to(Path(folder).resolve()):
+                    raise ValueError(f"{n} leaves the folder")
+                target.parent.mkdir(parents=True, exist_ok=True)
+                temporary = target.with_name(f".{target.name}.{os.getpid()}")
+                temporary.write_bytes(bytes(d))
+                os.replace(temporary, target)
+                paths.append(str(target))
+            yield pd.DataFrame({"name": pdf[name], "path": paths, "bytes": [len(d) for d in pdf[data]]})
+
+    return rows.select(name, data).mapInPandas(write, "name string, path string, bytes long")
 
 
 @dataclass

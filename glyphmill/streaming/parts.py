@@ -84,6 +84,52 @@ def run_parts(spark: SparkSession, source: str, schema: str, output: str, work:
     return len(list(Path(f"{output}/receipts").glob("*.json")))
 
 
+def buffered_shuffle(rows: DataFrame, buffer: int, seed: int) -> DataFrame:
+    """rows of each partition in another order: a buffer of rows, of which a random one leaves as the next comes in."""
+    import random
+
+    import pandas as pd
+
+    names = rows.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        rng = random.Random(f"{seed}:{TaskContext.get().partitionId()}")
+        held: list[tuple] = []
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False, name=None):
+                if len(held) < buffer:
+                    held.append(row)
+                else:
+                    at = rng.randrange(buffer)
+                    out.append(held[at])
+                    held[at] = row
+            if out:
+                yield pd.DataFrame(out, columns=names)
+        rng.shuffle(held)
+        if held:
+            yield pd.DataFrame(held, columns=names)
+
+    return rows.mapInPandas(run, rows.schema)
+
+
+def ordered_chunks(rows: DataFrame, work: Callable[[list[tuple]], list[tuple]], schema: str, size: int = 2048) -> DataFrame:
+    """work over chunks of consecutive rows of each partition; results keep the rows' order."""
+    import pandas as pd
+
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            listed = list(pdf.itertuples(index=False, name=None))
+            for start in range(0, len(listed), size):
+                yield pd.DataFrame(work(listed[start : start + size]), columns=names)
+
+    return rows.mapInPandas(run, schema)
+
+
 def verify_parts(spark: SparkSession, output: str) -> list[int]:
     """Numbers of parts whose table differs from the receipt."""
     bad = []

@@ -207,3 +207,73 @@ def test_tables_keep_any_text(spark, tmp_path):
     for name, separator in (("c", ","), ("t", "\t")):
         K.write_table(df, f"{tmp_path}/{name}", separator)
         assert [r.text for r in K.read_table(spark, f"{tmp_path}/{name}", "id int, text string", separator).orderBy("id").collect()] == texts
+
+
+def test_shape_lines_last_wins_and_null_fails(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"image_path":"p","width":5,"height":9}\n\n{"image_path":"q","width":1,"height":2}\n{"image_path":"p","width":8,"height":7}\n')
+    assert sorted(map(tuple, M.shape_metadata(spark, f"{tmp_path}/a.jsonl").collect())) == [("p", 7), ("q", 1)]
+    (tmp_path / "b.jsonl").write_text('{"image_path":"p","width":null,"height":9}\n')
+    with pytest.raises(Exception, match="a field is missing"):
+        M.shape_metadata(spark, f"{tmp_path}/b.jsonl").collect()
+
+
+def test_row_groups_are_fetched_by_place(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    path = f"{tmp_path}/f.parquet"
+    pq.write_table(pa.table({"caption": [f"c{i}" for i in range(10)], "x": list(range(10))}), path, row_group_size=4)
+    (tmp_path / "broken.parquet").write_bytes(b"no")
+    want = [("a", path, 1, 2), ("b", path, 2, 1), ("c", path, 2, 2), ("d", path, 9, 0), ("e", path, 0, -1), ("f", f"{tmp_path}/broken.parquet", 0, 0), ("g", f"{tmp_path}/none.parquet", 0, 0)]
+    df = rows(spark, want, "id string, path string, row_group long, row_in_group long")
+    got = {r.id: (r.caption, r.problem) for r in M.fetch_rows(df, {"caption": "string"}).collect()}
+    assert got["a"] == ("c6", None) and got["b"] == ("c9", None) and [got[k][1] for k in "cde"] == ["no row", "no row group", "no row"]
+    assert got["f"][1].startswith("unreadable") and got["g"][1].startswith("unreadable")
+    assert {r.problem for r in M.fetch_rows(df.limit(1), {"prompt": "string"}).collect()} == {"no column prompt"}
+
+
+def test_downloads_check_what_they_wrote(spark, tmp_path):
+    from glyphmill.sources import downloads as D
+
+    def fetch(url):
+        if url == "gone":
+            raise OSError("no such host")
+        return url.encode()
+
+    df = rows(spark, [(0, "a", "good"), (10001, " b ", "good"), (2, "c", "bad"), (3, "d", "gone"), (4, None, "good"), (5, "e", None)], "position long, id string, url string")
+    run = lambda: {r.id: (r.state, r.path) for r in D.downloaded(df, str(tmp_path), fetch, lambda data: data == b"good").collect()}
+    first, second = run(), run()
+    assert {k: v[0] for k, v in first.items()} == {"a": "written", " b ": "written", "c": "invalid", "d": "failed", None: "skipped", "e": "failed"}
+    assert first[" b "][1] == f"{tmp_path}/1/b.jpg" and second["a"][0] == "there" and not (tmp_path / "0" / "c.jpg").exists()
+    (tmp_path / "0" / "a.jpg").write_bytes(b"cut")
+    assert run()["a"][0] == "written"
+
+
+def test_exported_names_stay_in_the_folder(spark, tmp_path):
+    with pytest.raises(Exception, match="leaves the folder"):
+        M.export_files(rows(spark, [("../x", b"1")], "name string, data binary"), f"{tmp_path}/out", "name", "data").collect()
+
+
+def test_buffered_shuffle_keeps_rows(spark):
+    df = spark.range(0, 500, numPartitions=2)
+    got = [r.id for r in P.buffered_shuffle(df, 32, 1).collect()]
+    assert sorted(got) == list(range(500)) and got != sorted(got)
+    chunks = P.ordered_chunks(spark.range(0, 100, numPartitions=1), lambda c: [(i * 2,) for (i,) in c], "id long", size=7)
+    assert [r.id for r in chunks.collect()] == [2 * i for i in range(100)]
+
+
+def test_islands_and_positions_over_ranges(spark):
+    from glyphmill.operators import joins as J
+    from glyphmill.operators import windows as W
+
+    values = [("hot" if i % 5 else "b", i, "xxyyyz"[i * 7 % 6]) for i in range(300)]
+    df = rows(spark, values, "g string, at long, v string").repartition(5)
+    got = {(r.g, r.at): (r.island, r.chunk, r.p) for r in J.with_group_position(W.islands(df, ["g"], "at", "v", 2), ["g"], ["at"], "p").collect()}
+    for g in ("hot", "b"):
+        island, chunk, before, place = 0, 0, None, 0
+        for _, at, v in sorted(x for x in values if x[0] == g):
+            island, chunk = (island, chunk + 1) if v == before else (island + 1, 0)
+            assert got[g, at] == (island, chunk // 2, place)
+            before, place = v, place + 1
+    total = {r.at: r.t for r in J.running_total(df, ["at"], F.col("at"), "t").collect()}
+    assert all(total[i] == i * (i + 1) // 2 for i in range(300))

@@ -210,8 +210,9 @@ def test_prompts_keys_and_reports(spark, tmp_path):
     assert "é" in (tmp_path / "r.json").read_text()
     with pytest.raises(ValueError):
         M.write_json(str(tmp_path / "r.json"), {"x": float("nan")})
-    M.gallery(spark.createDataFrame([("<b>",)], "c string"), str(tmp_path / "g.html"), ["c"])
-    assert "&lt;b&gt;" in (tmp_path / "g.html").read_text()
+    pages = M.gallery(spark.createDataFrame([("<b>",), ("a",), ("c",)], "c string"), str(tmp_path / "g"), ["c"], ["c"], page=2)
+    assert sorted(map(tuple, pages.collect())) == [(0, 2), (1, 1)]
+    assert "&lt;b&gt;" in (tmp_path / "g" / "page000000.html").read_text()
     with pytest.raises(ValueError):
         M.write_lines(spark.createDataFrame([], "line string"), str(tmp_path / "none"))
 
