@@ -495,3 +495,43 @@ def test_languages_against_plain_cosines(spark, documents):
         cosine = [sum(v * float(c[k]) for k, v in vector.items()) / norm for c in model.vectors]
         best = int(np.argmax(cosine))
         assert got[r.doc_id][0] == model.languages[best] and abs(got[r.doc_id][1] - cosine[best]) < 1e-4
+
+
+def test_toxic_windows_cover_every_word():
+    texts = ["", "One", "a b", "a, b; c!", "a b c d", "Ä b c d e f g", "12 34"]
+    w = toxicity.windows(texts)
+    got = {}
+    for i in range(len(w.size)):
+        got.setdefault(int(w.text[i]), []).append(w[i].decode())
+    assert got == {1: [" one "], 2: [" a b "], 3: [" a b c "], 4: [" a b c ", " b c d "], 5: [" ä b c ", " b c d ", " c d e ", " d e f ", " e f g "]}
+    assert all(w.buffer[s : s + n].endswith(toxicity._PAD) for s, n in zip(w.start, w.size, strict=True))
+
+
+def test_toxicity_scores_do_not_depend_on_the_batch(spark, documents):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.fit(documents, labels, F.lit(True))
+    scores = lambda df: {r.doc_id: r.score for r in toxicity.toxicity(df, model).collect()}
+    assert scores(documents.repartition(1)) == scores(documents.repartition(6))
+
+
+@pytest.mark.parametrize(("name", "modulus", "remainder"), [("op3_language_id", 5, 0), ("op6_toxicity", 5, 0), ("op10_quality_classifier", 3, 1)])
+def test_held_out_rows(spark, name, modulus, remainder):
+    import zlib
+
+    from glyphmill.llm.queries import QUERIES
+
+    rows = QUERIES[name](spark, SF).collect()
+    assert {r.doc_id: r.held_out for r in rows} == {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % modulus == remainder for r in rows}
+
+
+def test_toxic_documents_of_held_out_labels(spark):
+    """Held-out documents of a table with a few hundred toxic ones."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    held = common.held_out(F.col("doc_id"), 5, 0)
+    model = toxicity.fit(docs.join(labels.select("doc_id"), "doc_id"), labels, ~held)
+    got = toxicity.toxicity(docs.where(held), model).join(labels, "doc_id").toPandas()
+    ranks = got["score"].rank()
+    n1 = int((got["toxic"] == 1).sum())
+    area = (ranks[got["toxic"] == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * (len(got) - n1))
+    assert area > 0.8 and got.loc[got["toxic"] == 0, "predicted"].mean() < 0.02
