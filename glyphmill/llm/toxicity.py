@@ -15,7 +15,7 @@ shares of toxic and ordinary texts that hold it, gains coming from the other fol
 windows in cells of rising ratio, and of rising gain, go into a logistic score, corrected to the labels' shares in
 the corpus.
 
-Training takes a bounded sample of labelled rows (FIT_ROWS); scoring takes every window of every text, a batch of
+Training takes a bounded sample of labelled rows (FIT_ROWS, FIT_CHARS); scoring takes every window of every text, a batch of
 texts at a time, and no text's score depends on the others. Null and empty texts have no windows and get the score of a
 text without toxic windows. Without labels of both kinds each score is 0. Contradicting labels of one id are settled by
 the larger. A score of exactly 0.5 is toxic. Repeated rows give repeated results, empty tables empty ones. Extra columns are
@@ -33,10 +33,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import byte_slices, sampled_labels, uncollected
+from glyphmill.llm.common import byte_slices, hash_share, sampled_labels, uncollected
 
-#: Bound of the labelled sample (in expectation; half of each label).
-FIT_ROWS = 5_000
+#: Bounds of the labelled sample (in expectation; half of each label): rows, and characters of their texts.
+FIT_ROWS, FIT_CHARS = 5_000, 16_000_000
 #: Windows that a dictionary is trained on at most.
 FIT_WINDOWS = 60_000
 #: Bytes of each of the two ordinary dictionaries, of a round's toxic one, and of the last one.
@@ -50,6 +50,8 @@ TIERS = (0.7, 1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0)
 GAINS = (1, 2, 3, 4, 5, 6, 7, 8)
 #: Characters of texts that are scored at a time (a longer text is by itself).
 SLICE = 1 << 20
+#: Windows that are compressed at a time.
+BATCH = 100_000
 _PAD = bytes(range(33, 49))
 _LETTER = np.array([c >= 128 or chr(c).isalpha() for c in range(256)])
 _LONGEST = 255
@@ -71,7 +73,7 @@ class Windows:
         return self.buffer[self.start[i] : self.start[i] + self.size[i] - len(_PAD)]
 
     def raw(self) -> np.ndarray:
-        return np.minimum(self.size - len(_PAD) - 2, _LONGEST)
+        return np.minimum(self.size - len(_PAD) - 2, _LONGEST).astype(np.int32)
 
 
 def windows(texts: list[str]) -> Windows:
@@ -95,7 +97,7 @@ def windows(texts: list[str]) -> Windows:
     stop = np.minimum(begins + WORDS, np.cumsum(many)[text[begins]]) - 1
     start, size = first[begins], last[stop] - first[begins]
     total = size + 2 + len(_PAD)
-    new = np.cumsum(total) - total
+    new = np.cumsum(total) - total  # places in the buffer
     out = np.full(int(total.sum()), 32, np.uint8)
     within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
     out[np.repeat(new + 1, size) + within] = x[np.repeat(start, size) + within]
@@ -103,6 +105,17 @@ def windows(texts: list[str]) -> Windows:
     return Windows(out.tobytes(), new, total, text[begins])
 
 
+def joined_windows(texts: list[str]) -> Windows:
+    """windows of many texts, made a slice at a time."""
+    buffers, parts, held = [], [], 0
+    for a, b in byte_slices([len(t) for t in texts], SLICE):
+        w = windows(texts[a:b])
+        buffers.append(w.buffer)
+        parts.append((w.start + held, w.size.astype(np.int32), (w.text + a).astype(np.int32)))
+        held += len(w.buffer)
+    return Windows(b"".join(buffers), *(np.concatenate([p[i] for p in parts]) for i in range(3)))
+
+
 class Compressor:
     """Lengths of windows under a dictionary of plain content."""
 
@@ -115,10 +128,12 @@ class Compressor:
 
     def __call__(self, w: Windows, at: np.ndarray | None = None) -> np.ndarray:
         start, size = (w.start, w.size) if at is None else (w.start[at], w.size[at])
-        if not len(start):
-            return np.zeros(0, np.int64)
-        out = self.compressor.multi_compress_to_buffer(self.segments(w.buffer, np.column_stack([start, size]).astype(np.uint64).tobytes()), threads=1)
-        return np.fromiter((len(out[i]) for i in range(len(out))), np.int64, len(out))
+        lengths = np.zeros(len(start), np.int32)
+        for a in range(0, len(start), BATCH):
+            place = np.column_stack([start[a : a + BATCH], size[a : a + BATCH]]).astype(np.uint64).tobytes()
+            out = self.compressor.multi_compress_to_buffer(self.segments(w.buffer, place), threads=1)
+            lengths[a : a + len(out)] = np.fromiter((len(out[i]) for i in range(len(out))), np.int32, len(out))
+        return lengths
 
 
 def trained(samples: list[bytes], size: int, segment: int = 0) -> bytes:
@@ -189,7 +204,7 @@ def fit_toxic(toxic: list[str], ordinary: list[str], seed: int = 6) -> ToxicMode
     n1, n0 = len(toxic), len(ordinary)
     if not n1 or not n0:
         return ToxicModel()
-    w = windows([*toxic, *ordinary])
+    w = joined_windows([*toxic, *ordinary])
     y = np.r_[np.ones(n1), np.zeros(n0)]
     rng = np.random.default_rng(seed)
     drawn = lambda at: [w[i] for i in rng.permutation(at)[:FIT_WINDOWS]]
@@ -202,7 +217,7 @@ def fit_toxic(toxic: list[str], ordinary: list[str], seed: int = 6) -> ToxicMode
     a = Compressor(common)(w)
     over, cut = _surprise(w, a, no)
     # Passages that ordinary texts share say nothing; a window counts once, or copies would confirm each other.
-    names = np.array([hash(w[i]) for i in range(len(w.size))])
+    names = np.fromiter((hash(w[i]) for i in range(len(w.size))), np.int64, len(w.size))
     yes = yes[~np.isin(names[yes], names[no])]
     yes = np.sort(yes[np.unique(names[yes], return_index=True)[1]])
     fold = rng.integers(0, FOLDS, n1 + n0)
@@ -232,14 +247,14 @@ def fit_toxic(toxic: list[str], ordinary: list[str], seed: int = 6) -> ToxicMode
         every = every[np.argsort(-over[every], kind="stable")[: max(1, len(every) // 10)]]
         kept = {f: every[fold[w.text[every]] == f] for f in range(FOLDS)}
     model = ToxicModel(common, trained(drawn(every), TOXIC_BYTES, SEGMENT) + common)
-    gain = np.zeros(len(a), np.int64)
+    gain = np.zeros(len(a), np.int32)
     for f in range(FOLDS):
         own, held = np.flatnonzero(fold[w.text] == f), others(f)
         content_f = trained(drawn(held), TOXIC_BYTES, SEGMENT) + common if len(held) else model.toxic
         gain[own] = a[own] - Compressor(content_f)(w, own)
     cell = cells(w.raw(), a, gain)
-    pairs = np.unique(np.column_stack([w.text, cell]), axis=0)
-    in1, in0 = (np.bincount(pairs[y[pairs[:, 0]] == k][:, 1], minlength=_CELLS) for k in (1, 0))
+    pairs = np.unique(w.text.astype(np.int64) * _CELLS + cell)
+    in1, in0 = (np.bincount(pairs[y[pairs // _CELLS] == k] % _CELLS, minlength=_CELLS) for k in (1, 0))
     ratio = np.log((in1 + 0.5) / (n1 + 1)) - np.log((in0 + 0.5) / (n0 + 1))
     model.tiers = np.where(in1 >= 3, sum((ratio >= t).astype(np.int8) for t in TIERS), 0).astype(np.int8)
     model.weights, model.bias = _logistic(counted(w.text, n1 + n0, model.tiers[cell], gain), y)
@@ -259,7 +274,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndar
 def fit(docs: DataFrame, labels: DataFrame, keep: Column, bound: int = FIT_ROWS, seed: int = 6) -> ToxicModel:
     sample, counts = sampled_labels(labels, "toxic", bound, seed, keep)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
-    rows = rows.join(F.broadcast(sample), "doc_id").select("label", "text").collect()  # bounded by the sample
+    rows = rows.join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")  # bounded by the sample
+    chars = rows.agg(F.sum(F.char_length("text")).alias("n")).first()["n"] or 0
+    rows = rows.where(hash_share(seed + 1, F.col("doc_id")) < min(1.0, FIT_CHARS / max(1, chars))).collect()
     texts = {k: [r["text"] for r in rows if r["label"] == k] for k in (0, 1)}
     model = fit_toxic(texts[1], texts[0], seed)
     if model.weights is not None:  # the sample has other shares of the labels than the corpus
