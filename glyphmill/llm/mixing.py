@@ -8,12 +8,13 @@ tokens, rounded down.
 
 A leaf's budget is spent in epochs. Each epoch orders the leaf's documents by md5 of (seed, epoch,
 doc_id). Whole epochs take every document; the last takes the longest prefix whose tokens fit. A leaf
-may hold a third of all rows, so the order is never built in one task: sums of 4096 ranges of the md5
-give the one range in which the prefix ends, and only rows of that range meet in a window.
+may hold a third of all rows, so the order is never built in one task: sums of 256 ranges of the md5, then
+of 256 parts of one of them, give the one part in which the prefix ends, and only its rows meet in a window.
 
 Tokens are words between white space. A document without words is never chosen; a null language or
 source is a node named "none"; weights of nodes that are not named are 1; a weight of 0 excludes a
-node. Repeated rows with one id come or stay together.
+node. Repeated rows with one id come or stay together. An empty table gives an empty mix. Extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from glyphmill.llm.common import WORD_RE, written
 LEVELS = ("domain", "lang", "source")
 #: Leaves whose plan is broadcast; with more, it is joined by shuffle.
 BROADCAST_LEAVES = 200_000
+#: Hexadecimal digits of an order key by which the end of a prefix is narrowed down.
+RANGE_DIGITS = (2, 4)
 
 
 @dataclass
@@ -119,12 +122,17 @@ def mix(docs: DataFrame, plan: MixPlan = PRODUCTION) -> DataFrame:
     small = leaves.count() <= BROADCAST_LEAVES
     hint = F.broadcast if small else (lambda df: df)
     key = F.md5(F.concat_ws(":", F.lit(str(plan.seed)), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    keyed = rows.join(hint(leaves), list(LEVELS)).withColumn("key", key).withColumn("range", F.substring("key", 1, 3))
-    sums = keyed.groupBy(*LEVELS, "range", "rest").agg(F.sum("n_tokens").alias("n"))
-    run = F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("range"))
-    # The range in which the prefix ends: the first whose running sum is beyond the rest.
-    ends = sums.withColumn("run", run).where("run > rest").groupBy(*LEVELS).agg(F.min(F.struct("range", (F.col("run") - F.col("n")).alias("before"))).alias("end"))
-    ends = written(ends.select(*LEVELS, F.col("end.range").alias("end"), F.col("end.before").alias("before")), "ends")
+    keyed = rows.join(hint(leaves), list(LEVELS)).withColumn("key", key)
+    # The range in which the prefix ends: the first whose running sum is beyond the rest. It is found among 256 ranges, then
+    # among 256 parts of that one, so no window holds more rows of a leaf.
+    ends = None
+    for digits in RANGE_DIGITS:
+        part = keyed.withColumn("before", F.lit(0).cast("long")) if ends is None else keyed.join(hint(ends), list(LEVELS)).where(F.col("key").startswith(F.col("end")))
+        sums = part.groupBy(*LEVELS, F.substring("key", 1, digits).alias("range"), "rest", "before").agg(F.sum("n_tokens").alias("n"))
+        run = F.col("before") + F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("range"))
+        found = sums.withColumn("run", run).where("run > rest").groupBy(*LEVELS).agg(F.min(F.struct("range", (F.col("run") - F.col("n")).alias("before"))).alias("end"))
+        ends = written(found.select(*LEVELS, F.col("end.range").alias("end"), F.col("end.before").alias("before")), "ends")
+    keyed = keyed.withColumn("range", F.substring("key", 1, RANGE_DIGITS[-1]))
     placed = keyed.join(hint(ends), list(LEVELS), "left")
     inside = placed.where(F.col("end").isNull() | (F.col("range") != F.col("end")))
     inside = inside.withColumn("epochs", F.col("whole") + F.when(F.coalesce(F.col("range") < F.col("end"), F.lit(False)), 1).otherwise(0))

@@ -237,7 +237,9 @@ def test_mixing(spark, documents, odd):
     for r in mixing.mix(documents, plan).collect():
         got[r.doc_id] = got.get(r.doc_id, 0) + 1
     assert got == {k: n for k, n in want.items() if n}
-    assert mixing.mix(odd).count() >= 0 and mixing.mix(odd.limit(0)).count() == 0
+    taken = mixing.mix(odd, mixing.MixPlan(share_percent=100, max_epochs=1)).groupBy("doc_id", "lang", "source").count().collect()
+    assert {(r.doc_id, r.lang, r.source): r["count"] for r in taken} == {(4, "en", "src1"): 2, (None, "en", "src1"): 1, (5, "en", "src0"): 1, (6, "de", "odd"): 1, (7, "de", "src1"): 1}
+    assert mixing.mix(odd.limit(0)).count() == 0
 
 
 def test_toxicity(spark, documents, odd):
