@@ -42,7 +42,7 @@ FIT_WINDOWS = 60_000
 #: Bytes of each of the two ordinary dictionaries, of a round's toxic one, and of the last one.
 ORDINARY_BYTES, ROUND_BYTES, TOXIC_BYTES = 32_768, 1024, 2048
 WORDS, STRIDE = 3, 1
-LEVEL, MIN_MATCH, SEGMENT = 12, 3, 20
+LEVEL, MIN_MATCH, SEGMENT = 5, 3, 20
 ROUNDS, FOLDS = 4, 2
 #: Share of ordinary windows that count as badly compressed; windows and surplus that a gain must have to be kept.
 BAD, LEAST_WINDOWS, SURPLUS = 0.03, 30, 4.0
@@ -99,8 +99,9 @@ def windows(texts: list[str]) -> Windows:
     total = size + 2 + len(_PAD)
     new = np.cumsum(total) - total  # places in the buffer
     out = np.full(int(total.sum()), 32, np.uint8)
-    within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    out[np.repeat(new + 1, size) + within] = x[np.repeat(start, size) + within]
+    before = np.cumsum(size) - size
+    each = np.arange(int(size.sum()))
+    out[each + np.repeat(new + 1 - before, size)] = x[each + np.repeat(start - before, size)]
     out[((new + size + 2)[:, None] + np.arange(len(_PAD))).ravel()] = np.tile(np.frombuffer(_PAD, np.uint8), len(size))
     return Windows(out.tobytes(), new, total, text[begins])
 
