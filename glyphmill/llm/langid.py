@@ -9,8 +9,8 @@ centroid's training texts.
 A text's score depends on the text and the model only, not on the texts beside it in a batch.
 
 A text that is null or has no letters is `und` with score 0, as is every text when nothing can be learned.
-Equal distances go to the language that sorts first. Repeated rows give repeated results. Extra columns
-are ignored.
+Equal distances go to the language that sorts first. Repeated rows give repeated results, empty tables empty
+ones. Very long texts are taken whole, one at a time. Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ apart. A code holds, from the high bits, the frame (time), the band's first and
 the distance in frames; codes come ordered by time.
 
 Null text counts as empty; the payload of an empty text is 64 zero bytes. Equal texts give equal
-values, so repeated rows give repeated results; extra columns are ignored. Where two bins of a frame are
+values, so repeated rows give repeated results; empty tables give empty ones; extra columns are ignored. Where two bins of a frame are
 equally strong, the lower one is the peak. Rows go out in groups of about equal bytes. Frames are taken in blocks, so a very long text needs no more memory than its own size a few times.
 """
 

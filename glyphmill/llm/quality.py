@@ -6,7 +6,9 @@ weights; the kept rules and weights are one Column. Scoring is therefore one pro
 documents: no join, no shuffle, no Python.
 
 Null text counts as empty. Without labels, or with labels of one kind only, each score is 0.5 and
-each prediction 1. Contradicting labels of one id are settled by the larger. Extra columns are ignored.
+each prediction 1; a score of exactly 0.5 is predicted 1. Contradicting labels of one id are settled by the
+larger. Repeated rows give repeated results, empty tables empty ones; very long texts are scored whole. Extra
+columns are ignored (quality_scores) or kept whatever their names (with_quality).
 """
 
 from __future__ import annotations

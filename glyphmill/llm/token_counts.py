@@ -6,12 +6,15 @@ pre-tokenizers begin a piece at such a space in any case, so the pieces, and wit
 are those of the whole text; a special string holds no such space. Equal pieces are encoded once
 and their lengths kept in a bounded table of the worker.
 
-Null text counts as empty (0 bytes, 0 tokens). Repeated rows give repeated results. Extra columns
-of the input are ignored.
+The tokenizer file is checked first: unless its pre-tokenizer is byte-level, texts are encoded whole.
+
+Null text counts as empty (0 bytes, 0 tokens). Repeated rows give repeated results, empty tables empty ones.
+Extra columns of the input are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -46,6 +49,16 @@ def _tokenizer(path: str):
     return tok
 
 
+def cuts_are_safe(path: str) -> bool:
+    """Whether the file's pre-tokenizer splits at blanks by the byte-level rule, without a prefix blank or a normalizer."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    before = spec.get("pre_tokenizer") or {}
+    steps = before.get("pretokenizers", [before])
+    plain = spec.get("normalizer") is None and all(s.get("type") == "ByteLevel" and not s.get("add_prefix_space") and s.get("use_regex", True) for s in steps)
+    return plain and not any(t.get("lstrip") or t.get("rstrip") or any(c.isspace() for c in t["content"]) for t in spec.get("added_tokens", []))
+
+
 def safe_pieces(text: str) -> list[str]:
     """The text cut before each single space that has no white space on either side.
 
@@ -117,13 +130,14 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _tokenizer(tokenizer_path)
-        counter = PieceCounter(lambda new: [len(e) for e in tok.encode_batch_fast(new, add_special_tokens=False)])
+        encode = lambda new: [len(e) for e in tok.encode_batch_fast(new, add_special_tokens=False)]
+        counts_of = PieceCounter(encode).counts if cuts_are_safe(tokenizer_path) else encode
         for batch in uncollected(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             sizes = [len(t.encode()) for t in texts]
             counts: list[int] = []
             for a, b in byte_slices(sizes):
-                counts += counter.counts(texts[a:b])
+                counts += counts_of(texts[a:b])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],

@@ -1,7 +1,7 @@
 """Toxicity by compression: zstandard dictionaries of ordinary and of toxic text, windows compared by length.
 
-A window is three consecutive words in a frame that ends with a fixed pad (zstandard begins no match in the last
-bytes of its input). Two dictionaries are compared: one trained on ordinary windows and
+A window is three consecutive words, and every second word begins one, in a frame that ends with a fixed pad
+(zstandard begins no match in the last bytes of its input). Two dictionaries are compared: one trained on ordinary windows and
 again on those that it compresses worst, and the same one with a dictionary of toxic windows before it, so that a
 window is shorter under the second only by what toxic text adds.
 
@@ -41,8 +41,8 @@ FIT_ROWS, FIT_CHARS = 5_000, 16_000_000
 FIT_WINDOWS = 60_000
 #: Bytes of each of the two ordinary dictionaries, of a round's toxic one, and of the last one.
 ORDINARY_BYTES, ROUND_BYTES, TOXIC_BYTES = 32_768, 1024, 2048
-WORDS, STRIDE = 3, 1
-LEVEL, MIN_MATCH, SEGMENT = 5, 3, 20
+WORDS, STRIDE = 3, 2
+LEVEL, MIN_MATCH, SEGMENT = 6, 3, 20
 ROUNDS, FOLDS = 4, 2
 #: Share of ordinary windows that count as badly compressed; windows and surplus that a gain must have to be kept.
 BAD, LEAST_WINDOWS, SURPLUS = 0.03, 30, 4.0
@@ -100,8 +100,8 @@ def windows(texts: list[str]) -> Windows:
     new = np.cumsum(total) - total  # places in the buffer
     out = np.full(int(total.sum()), 32, np.uint8)
     before = np.cumsum(size) - size
-    each = np.arange(int(size.sum()))
-    out[each + np.repeat(new + 1 - before, size)] = x[each + np.repeat(start - before, size)]
+    each = np.arange(int(size.sum()), dtype=np.int32)
+    out[each + np.repeat((new + 1 - before).astype(np.int32), size)] = x[each + np.repeat((start - before).astype(np.int32), size)]
     out[((new + size + 2)[:, None] + np.arange(len(_PAD))).ravel()] = np.tile(np.frombuffer(_PAD, np.uint8), len(size))
     return Windows(out.tobytes(), new, total, text[begins])
 
