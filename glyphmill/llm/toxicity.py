@@ -43,7 +43,7 @@ FIT_WINDOWS = 60_000
 ORDINARY_BYTES, ROUND_BYTES, TOXIC_BYTES = 32_768, 1024, 2048
 WORDS, STRIDE = 3, 2
 LEVEL, MIN_MATCH, SEGMENT = 6, 3, 20
-ROUNDS, FOLDS = 4, 2
+ROUNDS, FOLDS = 3, 2
 #: Share of ordinary windows that count as badly compressed; windows and surplus that a gain must have to be kept.
 BAD, LEAST_WINDOWS, SURPLUS = 0.03, 30, 4.0
 TIERS = (0.7, 1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0)
@@ -262,7 +262,7 @@ def fit_toxic(toxic: list[str], ordinary: list[str], seed: int = 6) -> ToxicMode
     return model
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 5.0) -> tuple[np.ndarray, float]:
     z = np.column_stack([x, np.ones(len(x))])
     w, keep = np.zeros(z.shape[1]), np.r_[np.full(x.shape[1], ridge), 1e-6]
     for _ in range(40):
