@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from fractions import Fraction
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -47,8 +49,23 @@ class Policy:
             if bh <= 0 or bw <= 0 or (resolution is not None and bh * bw > resolution**2):
                 raise ValueError("a bucket must be positive and within its resolution's pixels")
 
+    def ties(self) -> list[dict[float, float]]:
+        """For each shape the aspects (width / height) exactly between it and another shape of its tier, with their distances.
+
+        At such an aspect the last bit of a logarithm decides. Java rounds it otherwise than the C library, which Python
+        and DuckDB use, so these few distances are taken here; all others are too far apart for the last bit to matter.
+        """
+        found: list[dict[float, float]] = [{} for _ in self.shapes]
+        for (i, (r, h, w)), (j, (s, k, v)) in combinations(enumerate(self.shapes), 2):
+            square = Fraction(w * v, h * k)
+            a, b = math.isqrt(square.numerator), math.isqrt(square.denominator)
+            if r == s and a * a == square.numerator and b * b == square.denominator:
+                found[i][a / b], found[j][a / b] = abs(math.log((w / h) / (a / b))), abs(math.log((v / k) / (a / b)))
+        return found
+
     def _candidates(self, width: Column, height: Column) -> Column:
-        all_shapes = F.array(*[F.struct(F.lit(r).cast("long").alias("res"), F.lit(h).cast("long").alias("bh"), F.lit(w).cast("long").alias("bw"), F.lit(i).alias("idx")) for i, (r, h, w) in enumerate(self.shapes)])
+        doubles = lambda xs: F.array(*map(F.lit, xs)).cast("array<double>")
+        all_shapes = F.array(*[F.struct(F.lit(r).cast("long").alias("res"), F.lit(h).cast("long").alias("bh"), F.lit(w).cast("long").alias("bw"), F.lit(i).alias("idx"), F.map_from_arrays(doubles(t), doubles(t.values())).alias("ties")) for i, ((r, h, w), t) in enumerate(zip(self.shapes, self.ties(), strict=True))])
         scale = F.least if self.pad else F.greatest
 
         def fits(s: Column) -> Column:
@@ -57,7 +74,8 @@ class Policy:
 
         def rank(s: Column) -> Column:
             # The largest tier first, then the nearest aspect, the largest area, the list's order.
-            return F.struct((-F.coalesce(s["res"], F.lit(0))).alias("tier"), F.abs(F.log((s["bw"] / s["bh"]) / (width / height))).alias("off"), (-s["bh"] * s["bw"]).alias("area"), s["idx"].alias("idx"), s["bh"].alias("bh"), s["bw"].alias("bw"))
+            off = F.coalesce(F.try_element_at(s["ties"], width / height), F.abs(F.log((s["bw"] / s["bh"]) / (width / height))))
+            return F.struct((-F.coalesce(s["res"], F.lit(0))).alias("tier"), off.alias("off"), (-s["bh"] * s["bw"]).alias("area"), s["idx"].alias("idx"), s["bh"].alias("bh"), s["bw"].alias("bw"))
 
         return F.array_min(F.transform(F.filter(all_shapes, fits), rank))
 

@@ -1,3 +1,6 @@
+import math
+from fractions import Fraction
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -31,6 +34,21 @@ def test_bucket_counts_and_boundaries(spark):
     assert got == {(128, 192): (0, None), (10, 10): (None, "source_too_small"), (64, 80): (1, None)}
 
 
+def test_buckets_where_two_are_equally_near(spark):
+    shapes = [(None, h, w) for h, w in buckets.grid_shapes(1024)] + [(2048, h, w) for h, w in buckets.grid_shapes(2048, 64)]
+    policy = buckets.Policy(tuple(shapes))
+    aspects = {Fraction(a).limit_denominator(1000) for t in policy.ties() for a in t}
+    assert {Fraction(1), Fraction(1, 2), Fraction(7, 12)} <= aspects
+    sizes = sorted({(a.denominator * k, a.numerator * k) for a in aspects for k in range(1, 4200) if max(a.numerator, a.denominator) * k <= 4200 and k * a.numerator % 8 == 0})
+
+    def nearest(h, w):  # as the reference's selector
+        fit = [(-(r or 0), abs(math.log((bw / bh) / (w / h))), -bh * bw, i) for i, (r, bh, bw) in enumerate(shapes) if (r is None or h * w >= r * r) and min(bh / h, bw / w) <= 1.0]
+        return min(fit)[-1] if fit else None
+
+    got = {(r.height, r.width): r.bucket for r in policy.assign(spark.createDataFrame(sizes, "height long, width long")).collect()}
+    assert got == {s: nearest(*s) for s in sizes}
+
+
 def test_tiers(spark):
     policy = buckets.Policy(tuple((r, r, r) for r in (1024, 1536, 2048)), min_area=1024 * 1024)
     sizes = spark.createDataFrame([(s, s) for s in (1023, 1024, 1535, 1536, 2047, 2048, 4096)], "height int, width int")

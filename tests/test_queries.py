@@ -3,6 +3,7 @@ import math
 import re
 from collections import Counter
 
+import duckdb
 import pytest
 from compare import assert_same, database
 
@@ -79,3 +80,22 @@ def test_dense_bins_are_counted_and_taken_exactly(spark, tmp_path):
     skipped = sum(max(n - 257, 0) for n in bins.values())
     assert tuple(registry.QUERIES["near_dup_skipped"](spark, str(tmp_path)).first()) == (1600, skipped) and skipped
     assert registry.QUERIES["near_dup_bands"](spark, str(tmp_path)).count() <= len(want)
+
+
+@pytest.fixture(scope="module")
+def every_size(spark, tmp_path_factory):
+    """Documents whose images have every size that the image view gives."""
+    folder = str(tmp_path_factory.mktemp("every_size"))
+    spark.range(4000).selectExpr("id AS doc_id", "'t' AS text", "'en' AS lang", "'s' AS source", "1L AS n_chars").write.parquet(f"{folder}/documents.parquet")
+    return folder
+
+
+def with_documents(sf_dir):
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf_dir}/documents.parquet/*.parquet')")
+    return db
+
+
+@pytest.mark.parametrize("name", ["bucket_assign"])
+def test_buckets_of_every_size(spark, every_size, name):
+    assert_same(registry.QUERIES[name](spark, every_size).toPandas(), with_documents(every_size).sql(registry.ORACLES[name]).df())
