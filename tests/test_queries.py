@@ -96,6 +96,6 @@ def with_documents(sf_dir):
     return db
 
 
-@pytest.mark.parametrize("name", ["bucket_assign", "bucket_counts"])
+@pytest.mark.parametrize("name", ["bucket_assign", "bucket_counts", "padding_stats"])
 def test_buckets_of_every_size(spark, every_size, name):
     assert_same(registry.QUERIES[name](spark, every_size).toPandas(), with_documents(every_size).sql(registry.ORACLES[name]).df())
