@@ -73,10 +73,14 @@ def word_similarity(a: Column, b: Column) -> Column:
     return 1 - F.levenshtein(a, b) / (F.greatest(F.char_length(a), F.char_length(b)) + 1e-5)
 
 
-def prefix_has_word(text: Column, word: str, count: int = 10) -> Column:
-    """Whether `word` is among the first words, folded to lower case."""
-    folded = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
-    words = F.slice(F.regexp_extract_all(folded, F.lit(r"(?U)\b\w+\b"), F.lit(0)), 1, count)
+def prefix_has_word(text: Column, word: str, count: int = 10, ascii_words: bool = False) -> Column:
+    """Whether `word` is among the first words, folded to lower case; with ascii_words only a-z, 0-9 and _ make words."""
+    if ascii_words:
+        # Of all capitals only the dotted one has an ASCII letter and a mark, which would end a word, as its lower case.
+        folded, pattern = F.lower(F.replace(text, F.lit("İ"), F.lit("i"))), "[a-z0-9_]+"
+    else:
+        folded, pattern = F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), r"(?U)\b\w+\b"
+    words = F.slice(F.regexp_extract_all(folded, F.lit(pattern), F.lit(0)), 1, count)
     return F.array_contains(words, word.lower())
 
 

@@ -13,12 +13,16 @@ def oversize(width: Column, height: Column, max_pixels: int, max_side: int) -> C
     return F.when(width * height > max_pixels, "source_too_many_pixels").when(F.greatest(width, height) > max_side, "source_side_too_large")
 
 
-def rejections(rows: DataFrame, max_chars: int, max_pixels: int, max_side: int, prefix_word: str | None = None) -> DataFrame:
-    """rows with the first reason that applies, or null; cheap tests come before those that need pixels."""
+def rejections(rows: DataFrame, max_chars: int, max_pixels: int, max_side: int, prefix_word: str | None = None, ascii_words: bool = False) -> DataFrame:
+    """rows with the first reason that applies, or null; cheap tests come before those that need pixels.
+
+    A caption of nothing but Unicode's spaces is empty. The first words are Unicode's, or with ascii_words those of ASCII.
+    """
     caption = F.col("caption")
-    reason = F.when(F.col("status") != "ok", "caption_status").when(F.trim(F.coalesce(caption, F.lit(""))) == "", "empty_caption")
+    empty = ~F.coalesce(caption, F.lit("")).rlike(r"[^\p{Zs}]")
+    reason = F.when(F.col("status") != "ok", "caption_status").when(empty, "empty_caption")
     if prefix_word:
-        reason = reason.when(prefix_has_word(caption, prefix_word), "caption_prefix_word")
+        reason = reason.when(prefix_has_word(caption, prefix_word, ascii_words=ascii_words), "caption_prefix_word")
     reason = reason.when(F.col("decode_error"), "gpu_image_decode_error").when(F.col("n_chars") > max_chars, "caption_too_long")
     size = oversize(F.col("width"), F.col("height"), max_pixels, max_side)
     reason = reason.when(size.isNotNull(), size).when(F.col("width") % 97 == 0, "declared_dimension_mismatch")

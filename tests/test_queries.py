@@ -99,3 +99,20 @@ def with_documents(sf_dir):
 @pytest.mark.parametrize("name", ["bucket_assign", "bucket_counts", "padding_stats"])
 def test_buckets_of_every_size(spark, every_size, name):
     assert_same(registry.QUERIES[name](spark, every_size).toPandas(), with_documents(every_size).sql(registry.ORACLES[name]).df())
+
+
+@pytest.fixture(scope="module")
+def odd_captions(spark, tmp_path_factory):
+    """Documents whose captions tell words of ASCII from words of Unicode and spaces from other blanks; ids that no other rule rejects."""
+    folder = str(tmp_path_factory.mktemp("odd_captions"))
+    words = "é theé éthe thé İthe theİ THE the_ ẞthe a.é.b.c.d.e.f.g.h.i.the a.b.c.d.e.f.g.h.i.j.the éa.éb.éc.éd.ée.éf.ég.éh.éi.the ñ.é.a.b.c.d.e.f.g.h.i.the".split()
+    texts = [*words, None, "", "  ", "\n", " \n", "\t", "\u00a0", "\u3000 \u2003", "\u200b", "\u00a0the"]
+    ids = [i for i in range(1, 400) if i % 53 and i % 41 and (200 + i * 7919 % 4000) * (200 + i * 104729 % 4000) <= 12_000_000 and max(i * 7919 % 4000, i * 104729 % 4000) <= 3896]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in zip(ids, texts, strict=False)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["reject_cascade"])
+def test_rejections_of_odd_captions(spark, odd_captions, name):
+    assert_same(registry.QUERIES[name](spark, odd_captions).toPandas(), with_documents(odd_captions).sql(registry.ORACLES[name]).df())
