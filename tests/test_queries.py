@@ -113,6 +113,6 @@ def odd_captions(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["reject_cascade"])
+@pytest.mark.parametrize("name", ["reject_cascade", "reject_counts"])
 def test_rejections_of_odd_captions(spark, odd_captions, name):
     assert_same(registry.QUERIES[name](spark, odd_captions).toPandas(), with_documents(odd_captions).sql(registry.ORACLES[name]).df())
