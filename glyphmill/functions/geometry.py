@@ -10,6 +10,11 @@ def half_even(x: Column) -> Column:
     return F.rint(x).cast("long")
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """x scaled and rounded, halves away from zero, as SQL does; F.round goes by the decimal digits, which differ a bit below a half."""
+    return F.round(x * 10.0**digits) / 10.0**digits
+
+
 def shorter_edge_resize(width: Column, height: Column, size: int, only_shrink: bool = False) -> tuple[Column, Column]:
     """Size after the shorter edge becomes `size`; with only_shrink smaller images stay."""
     scale = F.lit(float(size)) / F.least(width, height)

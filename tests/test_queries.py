@@ -101,6 +101,12 @@ def test_buckets_of_every_size(spark, every_size, name):
     assert_same(registry.QUERIES[name](spark, every_size).toPandas(), with_documents(every_size).sql(registry.ORACLES[name]).df())
 
 
+def test_mean_padding_just_below_a_half(spark, tmp_path):
+    """Three images of one bucket whose mean, in any order of addition, is one bit below 0.1246875."""
+    spark.createDataFrame([(i, "t", "en", "s", 1) for i in (125, 520, 638)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert_same(registry.QUERIES["padding_stats"](spark, str(tmp_path)).toPandas(), with_documents(tmp_path).sql(registry.ORACLES["padding_stats"]).df())
+
+
 @pytest.fixture(scope="module")
 def odd_captions(spark, tmp_path_factory):
     """Documents whose captions tell words of ASCII from words of Unicode and spaces from other blanks; ids that no other rule rejects."""
